@@ -7,10 +7,13 @@
     one entity holds can't be shared, so only their number is kept.
 3.  Entities of one size with one prefix form a group; groups that meet in a prefix
     shingle are filtered by size and position, then expanded and verified on whole texts.
-4.  What leaves the join is components.  A shingle of many groups first pairs them with
-    one pivot each (twice, with other pivots); only pairs that no link has joined yet are
-    then enumerated, so that a cluster of copies costs about its size and not its square,
-    and no link between components is missed.
+4.  What leaves the join is components, so no pair is emitted for its own sake.  Each
+    shingle pairs its groups with one pivot, twice, with other pivots: a row a posting.
+5.  Entities of shingles that then still meet several components are indexed anew by
+    all their shingles, counted among themselves.  Those that can still meet form
+    classes, cut into blocks of members; a task compares two blocks by counting common
+    shingles as a product of matrices, and returns a spanning forest of the links.
+    Blocks of one component are skipped.  No pair is left out, and none is a row.
 
 Defined results: texts without words have no set, link with nothing, and are components
 of their own.  Rows of one doc_id are nodes of one id.  A null doc_id counts as the
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,8 +35,10 @@ from .scratch import Scratch
 from .text import buffers, longs, mix, plain, segment_sum, shingles, slices, words
 
 NO_ID = (1 << 63) - 1
-#: A shingle held by more entities than this is taken by pivots first.
-MANY = 12
+#: Entities of a block; a task compares two blocks.
+BLOCK = 256
+#: Shingles of one step of that comparison.
+STEP = 4096
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,9 +48,9 @@ def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return g, off, n, mix(segment_sum(mix(g ^ np.uint64(0x5851F42D4C957F2D)), off) + n.astype(np.uint64))
 
 
-def _low(num: int, den: int) -> np.uint64:
+def _low(num: int, den: int) -> int:
     """Shingles below this are ordered by count; about 1.35 prefixes of a set lie there."""
-    return np.uint64(int(min(1.0, 1.35 * (den - num) / den) * ((1 << 64) - 1)))
+    return int(min(1.0, 1.35 * (den - num) / den) * ((1 << 64) - 1))
 
 
 def _prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -53,7 +58,7 @@ def _prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _members(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    low = _low(num, den)
+    low = np.uint64(_low(num, den))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,9 +70,12 @@ def _members(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, e long, n long, u long")
 
 
-def _postings(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(s, e, k): each entity's shingles of the low part (k = -1), and as many of the next ones as its prefix lacks."""
-    low = _low(num, den)
+def _postings(rows: DataFrame, k: int, num: int, den: int, below: int) -> DataFrame:
+    """(s, e, k): each entity's shingles of the low part (k = -1), and as many of the next ones as its prefix lacks.
+
+    rows: (any id, text).
+    """
+    low = np.uint64(below)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,6 +126,79 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def _prefixes(rows: DataFrame, entity: DataFrame, k: int, num: int, den: int, below: int, scratch: Scratch, name: str) -> DataFrame:
+    """(e, n, prefix) of entities with a shared shingle in their prefix: an array of (s, pos) in the global order.
+
+    entity (e, n, u): u shingles of each set are below `below`.
+    """
+    held = _postings(rows, k, num, den, below)
+    shared = held.groupBy("s").agg(F.count("*").alias("c"), F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo != hi").select("s", "c")
+    shared = scratch.write(shared, f"{name}-shared")
+    scratch.release()
+    item = F.struct(F.when(F.col("k") < 0, 0).otherwise(1).alias("cls"), F.when(F.col("k") < 0, F.col("c")).otherwise(0).alias("c"), F.col("k").alias("k"), "s")
+    own = held.join(shared, "s").groupBy("e").agg(F.array_sort(F.collect_set(item)).alias("items")).join(entity, "e")
+    own = own.withColumn("low", F.size(F.filter("items", lambda x: x["cls"] == 0)).cast("long")).withColumn("p", F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1"))
+    first = F.expr("transform(slice(items, 1, cast(greatest(0, least(low, p - (u - low))) as int)), (x, i) -> struct(x.s as s, u - low + i as pos))")
+    then = F.expr("transform(filter(items, x -> x.cls = 1 and u + x.k < p), x -> struct(x.s as s, u + x.k as pos))")
+    own = own.select("e", "n", F.concat(first, then).alias("prefix")).where(F.size("prefix") > 0)
+    out = scratch.write(own, name)
+    scratch.drop(f"{name}-shared")
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, names: list[int]) -> list[tuple[int, int]]:
+    """Links that join something new, of links between positions."""
+    up = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = top(x), top(y)
+        if i != j:
+            up[j] = i
+            out.append((names[x], names[y]))
+    return out
+
+
+def _common(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Common shingles of all pairs of sets, as products of 0-1 matrices over a step of shingles each."""
+    n = len(off) - 1
+    doc = np.repeat(np.arange(n), np.diff(off))
+    known, at, times = np.unique(g, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    doc, at = doc[keep], rank[at[keep]]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, STEP):
+        i, j = np.searchsorted(at, (lo, lo + STEP))
+        x = np.zeros((n, STEP), np.float32)
+        x[doc[i:j], at[i:j] - lo] = 1
+        out += x @ x.T
+    return out
+
+
+def _compared(blocks: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span each group (cls, i, j) of `blocks` (cls, i, j, e, text)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        texts = plain(table.column("text"))
+        sets = [_sets(part, k)[:3] for _, part in slices(texts)]
+        n = np.concatenate([x[2] for x in sets])
+        common = _common(np.concatenate([x[0] for x in sets]), np.concatenate(([0], np.cumsum(n))))
+        a, b = np.nonzero(np.triu(common * (den + num) >= num * (n[:, None] + n[None, :]), 1))
+        got = _forest(a, b, table.column("e").to_pylist())
+        return pa.table({"a": pa.array([x[0] for x in got], pa.int64()), "b": pa.array([x[1] for x in got], pa.int64())})
+
+    return blocks.groupBy("cls", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of `docs` (doc_id, text).
 
@@ -132,19 +213,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     member = scratch.write(_members(rows, k, num, den), "member")
     entity = scratch.write(member.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u")), "entity")
 
-    held = _postings(rows, k, num, den)
-    shared = held.groupBy("s").agg(F.count("*").alias("c"), F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo != hi").select("s", "c")
-    shared = scratch.write(shared, "shared")
-    scratch.release()
-    item = F.struct(F.when(F.col("k") < 0, 0).otherwise(1).alias("cls"), F.when(F.col("k") < 0, F.col("c")).otherwise(0).alias("c"), F.col("k").alias("k"), "s")
-    own = held.join(shared, "s").groupBy("e").agg(F.array_sort(F.collect_set(item)).alias("items")).join(entity.select("e", "n", "u"), "e")
-    own = own.withColumn("low", F.size(F.filter("items", lambda x: x["cls"] == 0)).cast("long")).withColumn("p", F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den))) + 1)
-    own = own.withColumn("p", F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1"))
-    first = F.expr("transform(slice(items, 1, cast(greatest(0, least(low, p - (u - low))) as int)), (x, i) -> struct(x.s as s, u - low + i as pos))")
-    then = F.expr("transform(filter(items, x -> x.cls = 1 and u + x.k < p), x -> struct(x.s as s, u + x.k as pos))")
-    own = own.select("e", "n", F.concat(first, then).alias("prefix")).where(F.size("prefix") > 0)
-    prefix = scratch.write(own, "prefix")
-    scratch.drop("shared")
+    prefix = _prefixes(rows, entity.select("e", "n", "u"), k, num, den, _low(num, den), scratch, "prefix")
     scratch.release()
 
     # an unshared shingle in front makes a prefix unlike any other
@@ -172,7 +241,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     texts = scratch.write(texts.mapInArrow(same, "e long, text string").dropDuplicates(["e"]), "texts")
     scratch.release()
 
-    def met(x: DataFrame, y: DataFrame, more: Column, cols: list[str]) -> DataFrame:
+    def met(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
         """Pairs of two aliased sides that share a token and pass the filters."""
         near = _close(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
         on = (F.col("x.s") == F.col("y.s")) & (F.col("x.kind") == F.col("y.kind")) & near & more
@@ -189,29 +258,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
             edges = edges.union(x)
         return scratch.write(components(edges, scratch, f"{name}-cc"), f"{name}-roots")
 
-    few, many = tokens.where(F.col("held") <= MANY), tokens.where(F.col("held") > MANY)
-    pairs = met(few, few, F.col("x.e") < F.col("y.e"), ["a", "b"])
     links: list[DataFrame] = []
     roots = None
     for turn in range(2):
-        side = with_root(many, roots)
+        side = with_root(tokens, roots)
         pick = F.struct(F.xxhash64("e", F.lit(turn)).alias("h"), "e", "n", "pos", "root")
         pivot = side.groupBy("s", "kind").agg(F.min(pick).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s", "kind", F.col("p.e").alias("e"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.root").alias("root"))
-        star = met(side, pivot, F.col("x.root") != F.col("y.root"), ["a", "b"])
-        tried = scratch.write((pairs.union(star) if turn == 0 else star).distinct(), f"pairs-{turn}")
+        tried = scratch.write(met(side, pivot, F.col("x.root") != F.col("y.root")), f"pairs-{turn}")
         links.append(scratch.write(_verified(tried, texts, k, num, den), f"links-{turn}"))
         roots = linked(links, f"turn-{turn}")
         scratch.release()
-    # whatever may still link two components: tokens of many holders, and members of groups behind their heads
-    open_ = tokens.where((F.col("held") > MANY) | (F.col("largest") > 1))
-    expand = open_.where("kind = 0").withColumnRenamed("e", "g").join(index.select("g", "e"), "g").select("s", "kind", "e", "n", "pos").union(open_.where("kind = 1").select("s", "kind", "e", "n", "pos"))
-    expand = with_root(expand, roots)
-    mixed = expand.groupBy("s", "kind").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s", "kind")
-    expand = scratch.write(expand.join(mixed, ["s", "kind"], "left_semi"), "open")
-    rest = met(expand, expand, (F.col("x.e") < F.col("y.e")) & (F.col("x.root") != F.col("y.root")), ["a", "b"])
-    for turn in range(2):
-        rest = rest.join(spark.read.parquet(f"{scratch.root}/pairs-{turn}"), ["a", "b"], "left_anti")
-    links.append(scratch.write(_verified(scratch.write(rest, "pairs-2"), texts, k, num, den), "links-2"))
+    # entities of tokens that still meet several components, among themselves and by all their shingles
+    expand = tokens.where("kind = 0").withColumnRenamed("e", "g").join(index.select("g", "e"), "g").select("s", "kind", "e").union(tokens.where("kind = 1").select("s", "kind", "e"))
+    open_ = with_root(expand, roots).groupBy("s", "kind").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    open_ = scratch.write(expand.join(open_.select("s", "kind"), ["s", "kind"], "left_semi").select("e").distinct(), "open")
+    again = scratch.write(texts.join(open_, "e", "left_semi"), "open-texts")
+    sizes = open_.join(entity, "e").select("e", "n", F.col("n").alias("u"))
+    held = _prefixes(again, sizes, k, num, den, (1 << 64) - 1, scratch, "again").select("e", F.explode("prefix.s").alias("s"))
+    held = with_root(held, roots)
+    centre = held.groupBy("s").agg(F.min("e").alias("b"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    classes = scratch.write(components(held.join(centre, "s").select(F.col("e").alias("a"), "b"), scratch, "classes"), "class")
+    member_of = with_root(classes.select(F.col("node").alias("e"), F.col("root").alias("cls")), roots)
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("root", "e")) - 1
+    blocked = scratch.write(member_of.withColumn("block", F.floor(place / BLOCK)), "blocked")
+    block = blocked.groupBy("cls", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    one, two = block.alias("x"), block.alias("y")
+    mixed = (F.col("x.r0") != F.col("x.r1")) | (F.col("y.r0") != F.col("y.r1")) | (F.col("x.r0") != F.col("y.r0"))
+    couples = one.join(two, (F.col("x.cls") == F.col("y.cls")) & (F.col("x.block") <= F.col("y.block")) & mixed).select(F.col("x.cls").alias("cls"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = couples.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    tasks = blocked.select("cls", "block", "e").join(sides, ["cls", "block"]).select("cls", "i", "j", "e").join(again, "e")
+    links.append(scratch.write(_compared(tasks.select("cls", "i", "j", "e", "text"), k, num, den), "links-2"))
     roots = linked(links, "all")
 
     every = links[0].union(links[1]).union(links[2])
@@ -221,7 +297,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     known = known.join(lowest, "root").select("e", "component_id")
     label = entity.select("e", "doc_id").join(known, "e", "left").join(degree, "e", "left").select("e", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     label = scratch.write(label, "label")
-    scratch.drop("texts", "tokens", "grouped", "prefix", "open")
+    scratch.drop("texts", "tokens", "grouped", "prefix", "open", "open-texts", "again", "blocked")
     scratch.release()
     out = member.join(label, "e", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
     return out.select(*(F.when(F.col(c) == NO_ID, None).otherwise(F.col(c)).alias(c) if c.endswith("id") else c for c in out.columns))
