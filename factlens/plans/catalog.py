@@ -1,4 +1,264 @@
-"""All queries by name, with their SQL forms."""
+"""All queries by name over the relational tables, with their SQL forms.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Each SQL form stands on its own; `FACTS_SQL` derives the facts that both read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factlens.functions.glob import canonical_id, iglob, match_list, search_name
+from factlens.operators import analysis, diff, history, nav, select, traverse
+from factlens.plans import pathlang, sqlnav
+from factlens.sources.facts import FACTS_SQL, Facts, from_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable[[Facts], DataFrame]) -> Callable:
+        QUERIES[name or f.__name__] = lambda spark, sf_dir: f(from_tables(spark, sf_dir))
+        if sql:
+            ORACLE[name or f.__name__] = f"WITH RECURSIVE {FACTS_SQL}, named AS (SELECT s.*, o.name AS owner_name, s.package || coalesce('.' || o.name, '') || '.' || s.name AS query_name FROM symbols s LEFT JOIN symbols o ON s.owner_id = o.id), red AS (SELECT id FROM symbols WHERE kind = 'func' AND name LIKE 'red %') {sql}"
+        return f
+
+    return add
+
+
+def nav_query(name: str, text: str, sql: str) -> None:
+    """A query in the SQL dialect, over all its rows."""
+    query(sql, name)(lambda facts: sqlnav.run(facts, text, limit=None))
+
+
+def ids(df: DataFrame, key: str = "id") -> DataFrame:
+    return df.select(F.col(key).alias("id"))
+
+
+# --- scans and selectors -----------------------------------------------------------------
+nav_query("sel_func_glob", "SELECT symbol.id AS id, symbol.name AS name FROM 'func:red*'", "SELECT id, name FROM symbols WHERE kind = 'func' AND name LIKE 'red%'")
+nav_query("sel_kind_category", "SELECT symbol.id AS id, symbol.kind AS kind FROM 'type:*'", "SELECT id, kind FROM symbols WHERE kind IN ('record', 'interface')")
+nav_query("sel_pkg_relative", "SELECT symbol.id AS id FROM 'pkg:ASIA:NATION_1*'", "SELECT id FROM symbols WHERE module = 'ASIA' AND package LIKE 'ASIA/NATION_1%'")
+nav_query("sel_entity_member", "SELECT symbol.id AS id, symbol.query_name AS query_name FROM 'Customer#00000000?:Order*'", "SELECT id, query_name FROM named WHERE owner_name LIKE 'Customer#00000000_' AND name LIKE 'Order%'")
+nav_query("sel_path", "SELECT symbol.id AS id FROM 'path:EUROPE/**'", "SELECT id FROM named WHERE package LIKE 'EUROPE/%'")
+nav_query("definitions", "SELECT symbol.id AS id, symbol.visibility AS visibility FROM definitions('func:blue*')", "SELECT id, visibility FROM symbols WHERE kind = 'func' AND name LIKE 'blue%'")
+nav_query("files_metrics", "SELECT path, file.lines AS lines, file.digest AS digest FROM files()", "SELECT path, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(content) - len(replace(content, chr(10), '')) + CASE WHEN suffix(content, chr(10)) THEN 0 ELSE 1 END END AS lines, sha256(coalesce(content, '')) AS digest FROM files WHERE NOT excluded")
+nav_query("match_glob", "SELECT symbol.id AS id FROM 'all:*' WHERE symbol.package MATCH 'A*/NATION_?' AND symbol.kind != 'record'", "SELECT id FROM symbols WHERE regexp_full_match(package, 'A[^/]*/NATION_[^/]') AND kind <> 'record'")
+nav_query("where_3vl", "SELECT symbol.id AS id FROM 'all:*' WHERE NOT (symbol.owner_id = 'c:1' OR symbol.kind = 'func') OR symbol.name = 'red ring'", "SELECT id FROM symbols WHERE NOT (owner_id = 'c:1' OR kind = 'func') OR name = 'red ring'")
+nav_query("where_in_not_in", "SELECT symbol.id AS id FROM 'func:*' WHERE symbol IN callees('method:Order#1*') AND symbol NOT IN 'func:red*'", "SELECT id FROM symbols WHERE kind = 'func' AND id IN (SELECT symbol_id FROM occurrences JOIN symbols m ON m.id = enclosing_id WHERE role = 'call' AND symbol_id IS NOT NULL AND m.name LIKE 'Order#1%') AND name NOT LIKE 'red%'")
+
+
+@query("SELECT id FROM symbols WHERE kind = 'record' AND name ILIKE 'customer#00000001%'")
+def imatch_fold(f: Facts) -> DataFrame:
+    return ids(f.symbols.where("kind = 'record'").where(iglob(F.col("name"), "CUSTOMER#00000001*")))
+
+
+@query("SELECT id FROM symbols WHERE kind = 'func' AND (name ILIKE '%ring' OR name ILIKE 'red%') AND name NOT ILIKE '%blue%'")
+def match_expressions(f: Facts) -> DataFrame:
+    return ids(f.symbols.where("kind = 'func'").where(match_list(F.col("name"), "*ring, RED*, !*blue*")))
+
+
+@query("SELECT id, regexp_replace(lower(name), '[^0-9a-z]', '', 'g') AS search_name FROM symbols", "search_name")
+def _search_name(f: Facts) -> DataFrame:
+    return f.symbols.select("id", search_name(F.col("name")).alias("search_name"))
+
+
+@query("SELECT id, sha256(strlen(package) || ':' || package || ',' || strlen(name) || ':' || name || ',') AS canonical FROM symbols", "canonical_id")
+def _canonical_id(f: Facts) -> DataFrame:
+    return f.symbols.select("id", canonical_id(F.col("package"), F.col("name")).alias("canonical"))
+
+
+@query("SELECT id, name FROM symbols WHERE regexp_replace(lower(name), '[^0-9a-z]', '', 'g') LIKE 'small%' ORDER BY regexp_replace(lower(name), '[^0-9a-z]', '', 'g'), id LIMIT 20")
+def suggest_prefix(f: Facts) -> DataFrame:
+    return select.suggest(f, "Small").select("id", "name")
+
+
+# --- navigation --------------------------------------------------------------------------
+_SITE = "SELECT symbol.id AS id, enclosing_id, role, path, line FROM"
+
+
+def _witness(name: str, fn: str, where: str, proj: str) -> None:
+    nav_query(name, f"{_SITE} {fn}('func:red *')", f"SELECT {proj} AS id, enclosing_id, role, path, line FROM occurrences WHERE symbol_id IN (SELECT id FROM red) AND {where}")
+
+
+_witness("callers", "callers", "role = 'call'", "enclosing_id")
+_witness("references", "references", "role <> 'definition'", "symbol_id")
+_witness("reads", "reads", "role = 'reference'", "symbol_id")
+_witness("writes", "writes", "role = 'write'", "symbol_id")
+nav_query("callees", f"{_SITE} callees('method:Order#1*')", "SELECT symbol_id AS id, enclosing_id, role, path, line FROM occurrences WHERE role = 'call' AND enclosing_id IN (SELECT id FROM symbols WHERE kind = 'method' AND name LIKE 'Order#1%')")
+nav_query("methods", "SELECT symbol.id AS id, symbol.owner_name AS owner_name FROM methods('record:Customer#0000000?1')", "SELECT id, owner_name FROM named WHERE kind = 'method' AND owner_name LIKE 'Customer#0000000_1'")
+nav_query("implementers", "SELECT symbol.id AS id FROM implementers('interface:Supplier#00000000*')", "SELECT DISTINCT type_id AS id FROM implements WHERE interface_id IN (SELECT id FROM symbols WHERE kind = 'interface' AND name LIKE 'Supplier#00000000%')")
+nav_query("inheritors", "SELECT symbol.id AS id FROM inheritors('record:Customer#00000000*')", "SELECT DISTINCT id FROM embeds WHERE embedded IN (SELECT id FROM symbols WHERE kind = 'record' AND name LIKE 'Customer#00000000%')")
+nav_query("uses_contained", "SELECT symbol.id AS id, enclosing_id, role, line FROM uses('method:Order#2*')", "SELECT symbol_id AS id, enclosing_id, role, line FROM occurrences WHERE symbol_id IS NOT NULL AND enclosing_id IN (SELECT id FROM symbols WHERE kind = 'method' AND name LIKE 'Order#2%')")
+nav_query("incoming_via", "SELECT source_id, target_id FROM incoming('interface:Supplier#00000000*', via => 'tpch.supplied_by')", "SELECT source_id, target_id FROM supplied WHERE target_id IN (SELECT id FROM symbols WHERE kind = 'interface' AND name LIKE 'Supplier#00000000%')")
+nav_query("outgoing_via", "SELECT source_id, target_id FROM outgoing('func:red *', via => 'tpch.supplied_by')", "SELECT source_id, target_id FROM supplied WHERE source_id IN (SELECT id FROM red)")
+nav_query("nested_callers", "SELECT symbol.id AS id FROM methods(definitions('record:Customer#00000001*')) WHERE symbol.visibility = 'public'", "SELECT id FROM named WHERE kind = 'method' AND owner_name LIKE 'Customer#00000001%' AND visibility = 'public'")
+
+
+@query("""SELECT DISTINCT c.id FROM symbols c JOIN symbols m ON m.owner_id = c.id AND m.kind = 'method' JOIN implements i ON i.type_id = c.id""")
+def dispatch_types(f: Facts) -> DataFrame:
+    own = f.symbols.where("kind = 'method'").select(F.col("owner_id").alias("id"))
+    return ids(f.symbols).join(own, "id", "left_semi").join(f.implements.select(F.col("type_id").alias("id")), "id", "left_semi")
+
+
+@query("SELECT DISTINCT path, line, enclosing_id FROM occurrences WHERE role = 'call' AND target_name = 'part-1'")
+def call_candidates(f: Facts) -> DataFrame:
+    return nav.call_candidates(f, "part-1").select("path", "line", "enclosing_id")
+
+
+# --- ordering and sets -------------------------------------------------------------------
+nav_query("order_nulls", "SELECT symbol.id AS id, symbol.owner_id AS owner_id FROM 'all:*' WHERE symbol.package MATCH 'ASIA/*' ORDER BY symbol.owner_id DESC LIMIT 200", "SELECT id, owner_id FROM symbols WHERE regexp_full_match(package, 'ASIA/[^/]*') ORDER BY owner_id DESC NULLS FIRST, id LIMIT 200")
+nav_query("topk_limit", "SELECT symbol.id AS id, symbol.name AS name FROM 'func:*' ORDER BY symbol.name LIMIT 25", "SELECT id, name FROM symbols WHERE kind = 'func' ORDER BY name, id LIMIT 25")
+
+
+def path_query(name: str, text: str, sql: str) -> None:
+    query(sql, name)(lambda facts: pathlang.run(facts, text))
+
+
+path_query("set_union", "func:red* | func:blue*", "SELECT id FROM symbols WHERE kind = 'func' AND (name LIKE 'red%' OR name LIKE 'blue%')")
+path_query("set_intersect", "method:* & pkg:ASIA/*", "SELECT id FROM symbols WHERE kind = 'method' AND package LIKE 'ASIA/%'")
+path_query("set_subtract", "func:red* -pkg:PARTS/ECONOMY", "SELECT id FROM symbols WHERE kind = 'func' AND name LIKE 'red%' AND package <> 'PARTS/ECONOMY'")
+path_query("modifiers", "method:Order#1* +pkg:EUROPE/* -path:EUROPE/NATION_3", "SELECT id FROM symbols WHERE kind = 'method' AND name LIKE 'Order#1%' AND package LIKE 'EUROPE/%' AND package <> 'EUROPE/NATION_3'")
+path_query("relation_operand", "func:red* < pkg:ASIA/*", "SELECT DISTINCT o.enclosing_id AS id FROM occurrences o JOIN symbols s ON s.id = o.enclosing_id WHERE o.role = 'call' AND s.package LIKE 'ASIA/%' AND o.symbol_id IN (SELECT id FROM symbols WHERE kind = 'func' AND name LIKE 'red%')")
+path_query("compact_writes", "func:red* ~w", "SELECT DISTINCT enclosing_id AS id FROM occurrences WHERE role = 'write' AND symbol_id IN (SELECT id FROM symbols WHERE kind = 'func' AND name LIKE 'red%')")
+
+
+# --- traversal ---------------------------------------------------------------------------
+def _walk(start: str, forward: bool, depth: int) -> str:
+    a, b = ("source", "target") if forward else ("target", "source")
+    return f"w(id, depth) AS (SELECT id, 0 FROM ({start}) UNION SELECT e.{b}, w.depth + 1 FROM w JOIN edges e ON e.{a} = w.id WHERE w.depth < {depth}), least_ AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)"
+
+
+_ONE = "SELECT 'p:1' AS id"
+query(f", {_walk(_ONE, True, 4)} SELECT id, depth FROM least_ WHERE depth > 0", "traverse_out")(lambda f: traverse.reachable(f.edges, ids(f.symbols.where("id = 'p:1'")), 4))
+query(f", {_walk(_ONE, False, 4)} SELECT id, depth FROM least_ WHERE depth > 0", "traverse_in")(lambda f: traverse.reachable(traverse.reverse(f.edges), ids(f.symbols.where("id = 'p:1'")), 4))
+query(f", {_walk(_ONE, True, 2)}, {_walk(_ONE, False, 2).replace('w(', 'u(').replace(' w ', ' u ').replace('w.', 'u.').replace('least_', 'most_')} SELECT id, CAST(arg_min(depth, [abs(depth), depth]) AS INT) AS depth FROM (SELECT id, depth FROM least_ UNION ALL SELECT id, -depth FROM most_ WHERE depth > 0) GROUP BY id", "graph_nodes")(
+    lambda f: traverse.graph(f.edges, ids(f.symbols.where("id = 'p:1'")), 2, 1000)[0]
+)
+query(f", {_walk('SELECT id FROM red', True, 2)} SELECT c.id, l.depth, c.enclosing_id FROM (SELECT symbol_id AS id, enclosing_id FROM occurrences WHERE role = 'call') c JOIN least_ l ON l.id = c.id", "witnesses_by_depth")(
+    lambda f: f.occurrences.where("role = 'call'").join(traverse.reachable(f.edges, ids(select.select(f, "func:red *")), 2, True).withColumnRenamed("id", "symbol_id"), "symbol_id").select(F.col("symbol_id").alias("id"), "depth", "enclosing_id")
+)
+query(f", {_walk(_ONE, True, 8)} SELECT depth AS hops FROM least_ WHERE id = 'p:7'", "path_shortest_len")(lambda f: traverse.shortest_path(f.edges, "p:1", "p:7").where("id = 'p:7'").select(F.col("hop").alias("hops")))
+query(
+    "SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT source AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target, 0, 1 FROM edges) GROUP BY id", "graph_degree"
+)(lambda f: traverse.degrees(f.edges))
+query(
+    ", f AS (SELECT a.package AS from_id, b.package AS to_id, source, target FROM edges JOIN symbols a ON a.id = source JOIN symbols b ON b.id = target WHERE a.package <> b.package) SELECT from_id, to_id, count(*) AS n_edges, array_to_string(list_sort(list(DISTINCT source)), ',') AS members FROM f GROUP BY from_id, to_id",
+    "graph_fold_members",
+)(lambda f: traverse.fold_members(f.edges, f.symbols.select("id", F.col("package").alias("owner"))).withColumn("members", F.array_join("members", ",")))
+query("SELECT symbol_id AS target, enclosing_id AS source, count(*) AS n_sites, min(path) AS first_path FROM occurrences WHERE role = 'call' AND symbol_id IS NOT NULL GROUP BY 1, 2", "graph_edges_merged")(
+    lambda f: traverse.merge_edges(f.occurrences.where("role = 'call' AND symbol_id IS NOT NULL").select(F.col("enclosing_id").alias("source"), F.col("symbol_id").alias("target"), F.col("role").alias("kind"), "path", "line")).select("target", "source", "n_sites", F.col("sites")[0]["path"].alias("first_path"))
+)
+_CLOSURE = ", c(symbol_id, effect) AS (SELECT symbol_id, effect FROM effects UNION SELECT e.source, c.effect FROM c JOIN edges e ON e.target = c.symbol_id)"
+query(f"{_CLOSURE} SELECT symbol_id, effect FROM c", "effects_closure")(lambda f: traverse.effects_closure(f.edges, f.effects))
+query(f"{_CLOSURE} SELECT symbol_id, string_agg(effect, ',' ORDER BY effect) AS effects, bool_and(effect = 'lock.read') AS deterministic FROM c GROUP BY symbol_id", "deterministic_flag")(lambda f: traverse.effect_lists(traverse.effects_closure(f.edges, f.effects)))
+
+# --- versions ----------------------------------------------------------------------------
+_STATE = "SELECT key, fp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal DESC) AS r FROM deltas WHERE ordinal <= {}) WHERE r = 1 AND op = 'set'"
+_GEN = ", l AS (SELECT *, lag(op) OVER k AS was, lag(fp) OVER k AS was_fp FROM deltas WINDOW k AS (PARTITION BY key ORDER BY ordinal)), g AS (SELECT ordinal, key, op, fp, CAST(sum(CASE WHEN op = 'set' AND (was IS NULL OR was = 'delete' OR was_fp <> fp) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ordinal) AS BIGINT) AS generation FROM l)"
+
+
+def state(f: Facts, at: int) -> DataFrame:
+    return history.effective(f.deltas, history.chain(f.snapshots, at), "key").select("key", "fp")
+
+
+query(_STATE.format(30), "effective_state")(lambda f: state(f, 30))
+query(f"{_GEN} SELECT ordinal, key, op, fp, generation FROM g WHERE generation > 0", "generation")(lambda f: history.generations(f.deltas))
+query(f"{_GEN}, h AS (SELECT *, max(generation) OVER (PARTITION BY key ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM g WHERE generation > 0) SELECT ordinal, key, generation FROM h WHERE m IS NULL OR generation > m", "symbol_history")(
+    lambda f: history.symbol_history(history.generations(f.deltas)).select("ordinal", "key", "generation")
+)
+query(
+    ", l AS (SELECT *, lag(op) OVER (PARTITION BY key ORDER BY ordinal) AS was FROM deltas) SELECT ordinal, count(*) FILTER (op = 'set' AND (was IS NULL OR was = 'delete')) AS added, count(*) FILTER (op = 'set' AND was = 'set') AS changed, count(*) FILTER (op = 'delete' AND was = 'set') AS deleted FROM l GROUP BY ordinal", "snapshot_stats"
+)(lambda f: history.stats(f.deltas))
+query(f", x AS ({_STATE.format(10)}), y AS ({_STATE.format(20)}) SELECT key, CASE WHEN y.fp IS NULL THEN 'delete' ELSE 'set' END AS op, y.fp AS fp FROM x FULL JOIN y USING (key) WHERE x.fp IS DISTINCT FROM y.fp", "snapshot_delta")(lambda f: history.changes(state(f, 10), state(f, 20)))
+query("SELECT ordinal, lag(ordinal) OVER (ORDER BY ordinal) AS new_base FROM (SELECT unnest(range(1, 32)) AS ordinal) WHERE ordinal > 24 OR ordinal IN (3, 11)", "prune_kept")(lambda f: history.kept_snapshots(f.snapshots, 7, f.snapshots.where("ordinal IN (3, 11)")))
+query("SELECT ordinal, CAST('partial' AS VARCHAR) AS coverage FROM (SELECT unnest(range(1, 32)) AS ordinal) WHERE ordinal % 5 = 0", "coverage_gaps")(lambda f: analysis.coverage_gaps(f.snapshots).select("ordinal", "coverage"))
+
+
+# --- differences -------------------------------------------------------------------------
+def _sides(f: Facts) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the functions: the second lacks some, has others, and changes layers and packages by number."""
+    n = F.expr("cast(substring(id, 3) as bigint)")
+    fp = lambda m, k: F.when(n % m == k, F.lit("x")).otherwise(F.lit("y"))
+    base = f.symbols.where("kind = 'func'").withColumn("key", F.col("id"))
+    a = base.where(n % 11 != 1).select("key", "package", "kind", "name", *(F.lit("y").alias(c) for c in ("public_fp", "private_fp", "content_fp")))
+    b = base.where(n % 11 != 2).select("key", F.when(n % 13 == 4, F.concat("package", F.lit("/new"))).otherwise(F.col("package")).alias("package"), "kind", "name", fp(5, 0).alias("public_fp"), fp(5, 1).alias("private_fp"), fp(5, 2).alias("content_fp"))
+    return a, b
+
+
+query(
+    ", f AS (SELECT id AS key, package, CAST(substr(id, 3) AS BIGINT) AS n FROM symbols WHERE kind = 'func'), c AS (SELECT key, CASE WHEN n % 11 = 1 THEN 'added' WHEN n % 11 = 2 THEN 'removed' WHEN n % 5 = 0 THEN 'signature' WHEN n % 5 = 1 THEN 'structure' WHEN n % 5 = 2 THEN 'body' WHEN n % 13 = 4 THEN 'moved' END AS change FROM f) SELECT key, change FROM c WHERE change IS NOT NULL",
+    "symbol_diff_class",
+)(lambda f: diff.classify(*_sides(f)))
+
+
+def _shapes(f: Facts) -> tuple[DataFrame, DataFrame]:
+    """Functions by size parity as two versions; the shape is the brand with the size."""
+    n = F.expr("cast(substring(id, 3) as bigint)")
+    s = f.symbols.where("kind = 'func'").withColumn("shape", F.concat(F.get("params", F.lit(0)), F.lit(":"), (F.floor(n / 2) % 997).cast("string"))).withColumn("key", F.col("id"))
+    return s.where(n % 2 == 0), s.where(n % 2 == 1)
+
+
+_SIDE = ", f AS (SELECT id AS key, package, kind, name, param || ':' || ((CAST(substr(id, 3) AS BIGINT) // 2) % 997) AS shape, CAST(substr(id, 3) AS BIGINT) % 2 AS side FROM symbols WHERE kind = 'func'), x AS (SELECT {0}, min(key) AS old FROM f WHERE side = 0 GROUP BY {0} HAVING count(*) = 1), y AS (SELECT {0}, min(key) AS new FROM f WHERE side = 1 GROUP BY {0} HAVING count(*) = 1) SELECT x.old, y.new FROM x JOIN y USING ({0}) JOIN f a ON a.key = x.old JOIN f b ON b.key = y.new WHERE a.{1} <> b.{1}"
+query(_SIDE.format("kind, name, shape", "package"), "moved_unique")(lambda f: diff.moved(*_shapes(f)))
+query(_SIDE.format("package, kind, shape", "name"), "renamed_unique")(lambda f: diff.renamed(*_shapes(f)))
+
+
+def _trees(f: Facts) -> tuple[DataFrame, DataFrame]:
+    a, b = _shapes(f)
+    n = F.expr("cast(substring(id, 3) as bigint)")
+    node = lambda d: d.select("key", F.when(n % 10 < 2, F.floor(n / 2).cast("string")).alias("uuid"), F.col("name").alias("symbol"), F.col("shape").alias("hash"))
+    return node(a), node(b)
+
+
+_NODE = ", f AS (SELECT id AS key, CASE WHEN n % 10 < 2 THEN CAST(n // 2 AS VARCHAR) END AS uuid, name AS symbol, param || ':' || ((n // 2) % 997) AS hash, n % 2 AS side FROM (SELECT *, CAST(substr(id, 3) AS BIGINT) AS n FROM symbols WHERE kind = 'func'))"
+_PASS = ", {2} AS (SELECT o.old, p.new, '{0}' AS by FROM (SELECT {0}, min(key) AS old FROM f WHERE side = 0 AND {0} IS NOT NULL {1} GROUP BY 1 HAVING count(*) = 1) o JOIN (SELECT {0}, min(key) AS new FROM f WHERE side = 1 AND {0} IS NOT NULL {1} GROUP BY 1 HAVING count(*) = 1) p USING ({0}))"
+_LEFT = "AND key NOT IN (SELECT old FROM {0} UNION ALL SELECT new FROM {0})"
+query(_NODE + _PASS.format("uuid", "", "m1") + _PASS.format("symbol", _LEFT.format("m1"), "m2") + _PASS.format("hash", _LEFT.format("m1") + " " + _LEFT.format("m2"), "m3") + " SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3", "tree_diff_match")(lambda f: diff.tree_match(*_trees(f)))
+query(
+    ", i AS (SELECT source_id AS path, target_id AS alias, CAST(substr(source_id, 3) AS BIGINT) AS n FROM supplied) SELECT path, alias, CASE WHEN n % 3 = 1 THEN 'added' WHEN n % 3 = 2 THEN 'removed' ELSE 'changed' END AS change FROM i WHERE n % 4 <> 0", "import_diff"
+)(lambda f: _imports(f))
+
+
+def _imports(f: Facts) -> DataFrame:
+    i = f.relationships.select(F.col("source_id").alias("path"), F.explode("targets").alias("alias")).withColumn("n", F.expr("cast(substring(path, 3) as bigint)"))
+    a = i.where("n % 4 = 0 OR n % 3 != 1").select("path", "alias", F.col("alias").alias("target"))
+    b = i.where("n % 4 = 0 OR n % 3 != 2").select("path", "alias", F.when(F.expr("n % 4 != 0 AND n % 3 = 0"), F.lit("other")).otherwise(F.col("alias")).alias("target"))
+    return diff.imports_diff(a, b)
+
+
+# --- tests, coverage and files -----------------------------------------------------------
+query(
+    ", r AS (SELECT test_id, run_id, bool_or(outcome = 'pass') AS p, bool_or(outcome = 'fail') AS f FROM results GROUP BY 1, 2), n AS (SELECT test_id, count(*) AS runs, count(*) FILTER (p AND f) AS retry_flakes FROM r GROUP BY 1), g AS (SELECT test_id, count(*) FILTER (outcome = 'pass') AS passes, count(*) FILTER (outcome = 'fail') AS failures FROM results GROUP BY test_id, closure, environment HAVING passes > 0 AND failures > 0) SELECT test_id, runs, retry_flakes, CAST(sum(passes) AS BIGINT) AS passes, CAST(sum(failures) AS BIGINT) AS failures, sum(failures) / sum(passes + failures) AS flake_rate FROM n JOIN g USING (test_id) GROUP BY test_id, runs, retry_flakes",
+    "flaky_tests",
+)(lambda f: analysis.flaky(f.results))
+query("SELECT test_id, arg_max(outcome, [run_id, attempt]) AS outcome FROM results GROUP BY test_id", "last_outcome")(lambda f: analysis.last_outcome(f.results))
+query("SELECT symbol_id, CASE WHEN arg_max(statements, run_id) > 0 THEN arg_max(covered, run_id) / arg_max(statements, run_id) END AS ratio FROM coverage GROUP BY symbol_id", "coverage_ratio")(lambda f: analysis.coverage_ratio(f.coverage))
+query("SELECT enclosing_id, sha256(string_agg(strlen(symbol_id) || ':' || symbol_id || ',', '' ORDER BY symbol_id)) AS digest FROM (SELECT DISTINCT enclosing_id, symbol_id FROM occurrences WHERE symbol_id IS NOT NULL) GROUP BY enclosing_id", "closure_fingerprint")(
+    lambda f: analysis.set_digest(f.occurrences.where("symbol_id IS NOT NULL"), "enclosing_id", "symbol_id")
+)
+query(
+    ", k AS (SELECT DISTINCT test_id FROM results WHERE outcome = 'pass' AND test_id < 't:2' AND run_id IN (SELECT max(run_id) FROM (SELECT DISTINCT run_id FROM results WHERE test_id < 't:2') WHERE run_id NOT IN (SELECT run_id FROM results WHERE outcome = 'fail' AND test_id < 't:2'))) SELECT DISTINCT test_id, test_id IN (SELECT test_id FROM k) AS skip FROM results WHERE test_id < 't:2'",
+    "skip_plan",
+)(lambda f: analysis.skip_plan(f.results.where("test_id < 't:2'"), f.results.where("test_id < 't:2'").select("test_id", "closure").distinct()))
+query("SELECT package, count(*) AS n FROM symbols GROUP BY package", "package_facet")(lambda f: analysis.package_facet(f.symbols))
+query("SELECT package, kind, count(*) AS n, CAST(grouping(package, kind) AS BIGINT) AS level FROM symbols GROUP BY ROLLUP (package, kind)", "rollup_by_package")(lambda f: analysis.rollup_counts(f.symbols))
+query(
+    "SELECT 'p:' || l_partkey AS symbol_id, max(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) AS calls, max(CASE WHEN l_returnflag = 'N' THEN l_linenumber END) AS writes FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linestatus = 'O') AND l_returnflag IN ('A', 'N') GROUP BY 1", "measures_pivot"
+)(lambda f: analysis.measures(f.occurrences.where("symbol_id IS NOT NULL AND role IN ('call', 'write')").select("symbol_id", F.when(F.col("role") == "call", "calls").otherwise("writes").alias("name"), F.col("line").alias("value")), ["calls", "writes"]))
+query(
+    "SELECT 'no-private-red' AS rule, 'error' AS severity, enclosing_id || ' calls ' || symbol_id AS message, path, line FROM (SELECT DISTINCT enclosing_id, symbol_id, path, line FROM occurrences JOIN symbols c ON c.id = enclosing_id WHERE role = 'call' AND symbol_id IN (SELECT id FROM red) AND c.visibility = 'private')",
+    "lint_rules",
+)(lambda f: analysis.lint(f, [{"name": "no-private-red", "severity": "error", "query": "SELECT symbol.id AS caller, symbol_id AS callee, path, line FROM callers('func:red *') WHERE symbol.visibility = 'private'", "message": "{caller} calls {callee}"}]))
+
+
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", F.from_json("props", "k int", {"mode": "FAILFAST"})["k"].alias("k"))
+
+
+QUERIES["props_json"] = props_json
+ORACLE["props_json"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
