@@ -41,7 +41,8 @@ def identities(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = No
     scratch = scratch or Scratch(docs.sparkSession, "block-names")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.posexplode(_blocks(F.col("text"), block)).alias("pos", "block"))
+    # the row number stands below the explode, so that all blocks of a row have one
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.posexplode(_blocks(F.col("text"), block)).alias("pos", "block"))
     parts = parts.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha")))
     bare = rows.select(F.explode(_blocks(F.col("text"), block)).alias("block"))
 
@@ -54,7 +55,7 @@ def identities(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = No
     if hot:
         few = _sorted_names(bare.where(is_hot), "block").withColumn("name", -1 - F.row_number().over(Window.orderBy("block")))
         named = named.unionByName(parts.where(is_hot).join(F.broadcast(few), "block").drop("block"))
-    level = scratch.write(named.select("row", "doc_id", "sha", F.col("pos").cast("long").alias("pos"), F.col("name").cast("long").alias("name")), "names-0")
+    level = scratch.write(named.select("row", "doc_id", "sha", F.col("pos").cast("long").alias("pos"), F.col("name").cast("long").alias("name"), F.lit(0).alias("rounds")), "names-0")
     scratch.release()
     last = level.agg(F.max("pos")).first()[0]
     sizes = level.groupBy("row").agg(F.max("pos").alias("last")) if last else None
@@ -65,16 +66,16 @@ def identities(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = No
             level = scratch.write(level.join(sizes, "row"), "named-0")
             scratch.drop("names-0")
         single = level.where("last = 0")
-        done.append(single.select("doc_id", "sha", F.lit(rounds).alias("rounds"), "name"))
+        done.append(single.select("doc_id", "sha", "rounds", "name"))
         pairs = level.where("last > 0").groupBy("row", F.expr("pos div 2").alias("pos")).agg(
             F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.expr("max(last) div 2").alias("last"), F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("one"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("two")
         )
         pairs = scratch.write(pairs.withColumn("two", F.coalesce("two", F.lit(-(1 << 62)))), f"pairs-{rounds}")
         names = scratch.write(_sorted_names(pairs.select("one", "two"), "one", "two"), f"pair-names-{rounds}")
         rounds += 1
-        level = scratch.write(pairs.join(names, ["one", "two"]).drop("one", "two"), f"named-{rounds}")
+        level = scratch.write(pairs.join(names, ["one", "two"]).drop("one", "two").withColumn("rounds", F.lit(rounds)), f"named-{rounds}")
         last //= 2
-    done.append(level.select("doc_id", "sha", F.lit(rounds).alias("rounds"), "name"))
+    done.append(level.select("doc_id", "sha", "rounds", "name"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
