@@ -29,6 +29,19 @@ SCHEMAS = {
     "coverage": "run_id long, symbol_id string, statements long, covered long, fp long",
 }
 
+#: Schemas of the relational tables; with them a read starts no job of its own.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
 # The kinds that exist everywhere, with their categories.
 KINDS = [
     ("func", "callable"), ("method", "callable"), ("type", "type"), ("struct", "type"), ("interface", "type"), ("record", "type"), ("enum", "type"),
@@ -82,7 +95,7 @@ def read_parquet(spark: SparkSession, path: str) -> Facts:
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Facts:
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    t = lambda n: spark.read.schema(TABLES[n]).parquet(f"{sf_dir}/{n}.parquet")
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("module"), F.concat("r_name", F.lit("/"), "n_name").alias("package"))
     none, no_params = F.lit(None).cast("string"), F.array().cast("array<string>")
