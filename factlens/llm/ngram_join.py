@@ -37,6 +37,8 @@ from .text import buffers, longs, mix, plain, segment_sum, shingles, slices, wor
 NO_ID = (1 << 63) - 1
 #: Entities of a block; a task compares two blocks.
 BLOCK = 256
+#: Members of a class that one task numbers, on average.
+SHARE = 4 * BLOCK
 #: Shingles of one step of that comparison.
 STEP = 4096
 
@@ -279,8 +281,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     centre = held.groupBy("s").agg(F.min("e").alias("b"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
     classes = scratch.write(components(held.join(centre, "s").select(F.col("e").alias("a"), "b"), scratch, "classes"), "class")
     member_of = with_root(classes.select(F.col("node").alias("e"), F.col("root").alias("cls")), roots)
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("root", "e")) - 1
-    blocked = scratch.write(member_of.withColumn("block", F.floor(place / BLOCK)), "blocked")
+    # members are numbered in shares of bounded size, whole components together where they fit
+    rooted = member_of.groupBy("cls", "root").agg(F.count("*").alias("parts"))
+    shares = rooted.groupBy("cls").agg(F.ceil(F.sum("parts") / SHARE).alias("shares"))
+    part = F.pmod(F.xxhash64("e"), F.ceil(F.col("parts") / SHARE))
+    dealt = member_of.join(rooted, ["cls", "root"]).join(shares, "cls").withColumn("share", F.pmod(F.xxhash64("root", part), F.col("shares")))
+    place = F.row_number().over(Window.partitionBy("cls", "share").orderBy("root", "e")) - 1
+    blocked = scratch.write(dealt.select("cls", "root", "e", (F.col("share") * (1 << 24) + F.floor(place / BLOCK)).alias("block")), "blocked")
     block = blocked.groupBy("cls", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
     one, two = block.alias("x"), block.alias("y")
     mixed = (F.col("x.r0") != F.col("x.r1")) | (F.col("y.r0") != F.col("y.r1")) | (F.col("x.r0") != F.col("y.r0"))

@@ -89,6 +89,7 @@ def test_ngram_join(docs, rows, k, num, den):
 def test_ngram_join_cluster(spark, monkeypatch):
     """Many copies that differ in a few words: compared in small blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SHARE", 8)
     r = random.Random(3)
     base = [f"b{i}" for i in range(40)]
     rows = []
