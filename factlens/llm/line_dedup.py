@@ -34,11 +34,6 @@ LEAST = 10
 SHARD_KEYS = 200_000
 NO_ID = (1 << 63) - 1
 SPACE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def key_of(line: str) -> str:
-    return line.strip(SPACE).translate(_LOWER)
 
 
 def _level(a: np.ndarray, b: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -80,8 +75,9 @@ class PerfectHash:
 def _identities(text: str, least: int) -> list[tuple[int, bytes | None]]:
     out = []
     for line in text.split("\n"):
-        k = key_of(line) if len(line) >= least else ""
-        out.append(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) if len(k) >= least else None)
+        k = line.strip(SPACE)
+        # lower() of bytes is that of A-Z alone
+        out.append(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass").lower()) if len(k) >= least else None)
     return out
 
 
