@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import difflib
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -94,17 +93,3 @@ def reordered(tables: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["name", "member"])
 
     return tables.mapInPandas(lambda it: map(work, it), "name string, member string")
-
-
-def line_changes(texts: DataFrame) -> DataFrame:
-    """(key, added, removed) lines of rows (key, old, new)."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for key, old, new in zip(pdf["key"], pdf["old"], pdf["new"], strict=True):
-            a, b = (old or "").splitlines(), (new or "").splitlines()
-            same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks())
-            rows.append((key, len(b) - same, len(a) - same))
-        return pd.DataFrame(rows, columns=["key", "added", "removed"])
-
-    return texts.mapInPandas(lambda it: map(work, it), "key string, added long, removed long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .traverse import Rounds
@@ -78,3 +78,36 @@ def kept_snapshots(snapshots: DataFrame, newest: int, pinned: DataFrame) -> Data
 def dense_numbers(items: DataFrame, *group: str, order: str) -> DataFrame:
     """Numbers from 1 within each group in input order, kept once given."""
     return items.withColumn("number", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+
+
+def fold_fingerprints(triples: DataFrame, key: str, *layers: str) -> DataFrame:
+    """One value a layer for each key: its only distinct tuple's own, else the first eight bytes of a SHA-256 over the sorted tuples' big-endian values."""
+    every = triples.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*layers))).alias("t"))
+
+    def folded(layer: str) -> Column:
+        text = F.array_join(F.transform("t", lambda x: F.lpad(F.hex(x[layer]), 16, "0")), "")
+        return F.when(F.size("t") == 1, F.col("t")[0][layer]).otherwise(F.conv(F.substring(F.sha2(F.unhex(text), 256), 1, 16), 16, -10).cast("long")).alias(layer)
+
+    return every.select(key, *(folded(x) for x in layers))
+
+
+def unseen(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Documents (root, path, digest, ...) whose content is not stored yet under their root and path."""
+    return documents.join(stored.select("root", "path", "digest").distinct(), ["root", "path", "digest"], "left_anti").select(*documents.columns)
+
+
+def carry_forward(rows: DataFrame, base: int, snapshot: int) -> DataFrame:
+    """The base's rows under a snapshot that has no deltas of its own."""
+    return rows.where(F.col("snapshot") == base).withColumn("snapshot", F.lit(snapshot).cast("long"))
+
+
+def symbol_deltas(before: DataFrame, after: DataFrame, changed_packages: DataFrame) -> DataFrame:
+    """(key, op, fp) of declarations (key, package, fp): what the changed packages set and delete against the base."""
+    inside = lambda d: d.join(changed_packages.select("package").distinct(), "package", "left_semi")
+    return changes(inside(before), inside(after))
+
+
+def coalesce_types(nodes: DataFrame) -> DataFrame:
+    """Type nodes (module, package, name, members, source) of one name as one, members in the order of their sources."""
+    parts = F.array_sort(F.collect_list(F.struct("source", "members")))
+    return nodes.groupBy("module", "package", "name").agg(F.flatten(F.transform(parts, lambda x: x["members"])).alias("members"))

@@ -111,4 +111,35 @@ def call_candidates(facts: Facts, name: str) -> DataFrame:
     return facts.occurrences.where((F.col("role") == "call") & (F.col("target_name") == name)).dropDuplicates(["path", "line", "enclosing_id", "target_name"]).select(*SITE)
 
 
+def implementations(facts: Facts, targets: DataFrame) -> DataFrame:
+    """Methods that a call of a target, an interface's method, may reach."""
+    ids = targets.select(F.col("id").alias("interface_method_id")).distinct()
+    return _declared(facts, interface_methods(facts).join(ids, "interface_method_id", "left_semi").select(F.col("method_id").alias("proj")))
+
+
+def find_references(facts: Facts, targets: DataFrame) -> DataFrame:
+    """One occurrence of the targets at each position; a definition goes before other roles, then the role's name."""
+    best = F.min_by(F.struct(*SITE), F.struct(F.col("role") != "definition", F.col("role"), F.col("symbol_id"), F.col("enclosing_id")))
+    return _occ(facts, targets).groupBy("path", "line").agg(best.alias("x")).select(*(F.col(f"x.{c}") for c in SITE))
+
+
+def projected(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, omitted): the distinct symbols that witnesses project, and how many of the rows project none."""
+    return rows.where("proj IS NOT NULL").select(F.col("proj").alias("id")).distinct(), rows.agg(F.count(F.when(F.col("proj").isNull(), 1)).alias("omitted"))
+
+
+#: Categories of symbols that a relation applies to; the others take all but containers.
+APPLIES = {"callees": ("callable",), "implementers": ("type",), "inheritors": ("type",), "methods": ("type",)}
+
+
+def applicable(facts: Facts, relation: str, targets: DataFrame) -> DataFrame:
+    """The targets (id, kind) that a relation applies to; if it applies to none of some, that is an error."""
+    takes = APPLIES.get(relation, ("callable", "type", "data"))
+    kinds = facts.kinds.where(F.col("category").isin(*takes)).select(F.col("name").alias("kind"))
+    fit = targets.join(F.broadcast(kinds), "kind", "left_semi")  # the table of kinds is registered by hand
+    if not fit.limit(1).count() and targets.limit(1).count():
+        raise ValueError(f"{relation} applies to none of these symbols")
+    return fit
+
+
 RELATIONS = {"callers": callers, "callees": callees, "references": references, "reads": reads, "writes": writes, "methods": methods, "implementers": implementers, "inheritors": inheritors, "uses": uses}

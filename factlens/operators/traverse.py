@@ -81,6 +81,115 @@ def graph(edges: DataFrame, roots: DataFrame, depth: int = 2, nodes: int = 150)
     return kept, drawn, counts
 
 
+#: Groups of nodes that a graph leaves out by default.
+EXCLUDED = ("std", "builtin")
+
+
+def excluded_ids(groups: DataFrame, patterns: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """(id, grp) of nodes (id, grp) whose group is named, or lies below a `path/...`; `none` takes all patterns back."""
+    hit = F.lit(False)
+    for p in () if "none" in patterns else patterns:
+        tree = p.removesuffix("/...")
+        hit = hit | (F.col("grp") == tree) | (F.col("grp").startswith(f"{tree}/") if tree != p else F.lit(False))
+    return groups.where(hit).select("id", "grp")
+
+
+def bounded_graph(edges: DataFrame, roots: DataFrame, groups: DataFrame, depth: int = 2, nodes: int = 150, exclude: tuple[str, ...] = EXCLUDED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, omitted): a walk down that neither draws nor passes excluded groups, with what is left out counted.
+
+    `omitted` has (reason, grp, n): excluded nodes next to a drawn one, nodes over the
+    node limit, and edges that lead from the last depth to nodes beyond it.
+    """
+    out = excluded_ids(groups, exclude)
+    ids = lambda d, k: d.select(F.col("id").alias(k))
+    inner = edges.join(ids(out, "target"), "target", "left_anti").join(ids(out, "source"), "source", "left_anti").select("source", "target")
+    cut = Rounds(edges.sparkSession).cut
+    every = cut(reachable(inner, roots, depth, True))
+    kept = cut(every.orderBy("depth", "id").limit(nodes))
+    drawn = inner.join(ids(kept, "source"), "source", "left_semi").join(ids(kept, "target"), "target", "left_semi").select("source", "target")
+    count = lambda d, why: d.join(groups, "id", "left").groupBy("grp").agg(F.count("*").alias("n")).select(F.lit(why).alias("reason"), "grp", "n")
+    beside = edges.join(ids(kept, "source"), "source", "left_semi").join(ids(out, "target"), "target", "left_semi").select(F.col("target").alias("id")).distinct()
+    beyond = inner.join(ids(kept.where(F.col("depth") == depth), "source"), "source", "left_semi").join(ids(every, "target"), "target", "left_anti").select(F.col("target").alias("id"))
+    return kept, drawn, count(beside, "excluded").union(count(every.join(kept.select("id"), "id", "left_anti"), "node_limit")).union(count(beyond, "beyond_depth"))
+
+
+def access_edges(steps: DataFrame, *access: str) -> DataFrame:
+    """Steps (source, target, role, ...) of the named kinds of access: call (with dispatch), read, write; none named takes all."""
+    role = {"call": ["call", "dispatch"], "read": ["reference"], "write": ["write"]}
+    return steps.where(F.col("role").isin([r for a in access for r in role[a]])) if access else steps
+
+
+def forward_edges(calls: DataFrame, implementations: DataFrame) -> DataFrame:
+    """(source, target, dispatch): calls (source, target), and for a called interface method its implementations (method_id, interface_method_id)."""
+    direct = calls.where("target IS NOT NULL").select("source", "target", F.lit(False).alias("dispatch"))
+    via = implementations.select(F.col("interface_method_id").alias("target"), "method_id")
+    return direct.union(calls.join(via, "target").select("source", F.col("method_id").alias("target"), F.lit(True).alias("dispatch"))).distinct()
+
+
+def paths_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    """(target, hop, id): for each target in reach one shortest path from any root, the smallest parent at each step."""
+    cut = Rounds(edges.sparkSession).cut
+    level = cut(roots.select("id", F.lit(None).cast("string").alias("parent")).distinct())
+    levels, seen = [level], level.select("id")
+    while len(levels) <= depth:
+        step = edges.join(level.select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
+        level = cut(step.join(seen, "id", "left_anti"))
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+        seen = seen.union(level.select("id"))
+    # from the last level to the roots: targets of a level start there, the others come from below
+    goal = targets.select(F.col("id").alias("goal")).distinct()
+    rows, at = [], None
+    for hop in range(len(levels) - 1, -1, -1):
+        here = levels[hop].join(goal, F.col("id") == F.col("goal")).select(F.col("goal").alias("target"), "id", "parent")
+        if at is not None:
+            here = here.union(at.join(levels[hop], F.col("above") == F.col("id")).select("target", "id", "parent"))
+        here = cut(here)
+        rows.append(here.select("target", F.lit(hop).alias("hop"), "id"))
+        at = here.select("target", F.col("parent").alias("above"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+def nearest_effects(edges: DataFrame, own: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    """(symbol_id, effect, hops, via): how near a symbol's effect is, and the next symbol on a shortest way to it, null if its own."""
+    cut = Rounds(edges.sparkSession).cut
+    level = cut(own.select("symbol_id", "effect", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")).distinct())
+    every = level
+    for k in range(1, depth + 1):
+        step = edges.join(level.select(F.col("symbol_id").alias("target"), "effect"), "target").groupBy(F.col("source").alias("symbol_id"), "effect").agg(F.lit(k).alias("hops"), F.min("target").alias("via"))
+        level = cut(step.join(every, ["symbol_id", "effect"], "left_anti").select("symbol_id", "effect", "hops", "via"))
+        if not level.limit(1).count():
+            break
+        every = every.union(level)
+    return every
+
+
+def package_closure(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """(package, needs): each package with itself and all that it imports, directly or not, by imports (source, target)."""
+    cut = Rounds(imports.sparkSession).cut
+    reach = cut(packages.select("package", F.col("package").alias("needs")).distinct())
+    new, parts = reach, 1
+    while new.limit(1).count():
+        step = new.join(imports.select(F.col("source").alias("needs"), F.col("target").alias("next")), "needs").select("package", F.col("next").alias("needs")).distinct()
+        new = cut(step.join(reach, ["package", "needs"], "left_anti").select("package", "needs"))
+        parts += 1
+        reach = cut(reach.union(new)) if parts % 8 == 0 else reach.union(new)
+    return reach
+
+
+def package_fingerprints(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(package, digest) over the files (package, path, digest) of a package and of all that it imports."""
+    from .analysis import set_digest
+
+    item = files.select(F.col("package").alias("needs"), F.concat_ws("\n", "package", "path", "digest").alias("item"))
+    own = set_digest(item, "needs", "item").select("needs", F.concat_ws("\n", "needs", "digest").alias("item"))
+    return set_digest(package_closure(imports, files.select("package")).join(own, "needs").select("package", "item"), "package", "item")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select(F.col("target"), F.lit(0), F.lit(1)))
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
@@ -127,6 +236,8 @@ def effects_closure(edges: DataFrame, own: DataFrame, most: int = 200) -> DataFr
             break
         parts.append(new)
         every = cut(every.union(new)) if len(parts) % 8 == 0 else every.union(new)
+    else:
+        raise ValueError(f"effects travel more than {most} calls")
     return every
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions.glob import canonical_id, iglob, match_list, search_name
-from factlens.operators import analysis, diff, history, nav, select, traverse
+from factlens.functions.schemas import pack_handle, properties, unpack_handle
+from factlens.operators import analysis, compare, diff, history, nav, scopes, select, traverse
 from factlens.plans import pathlang, sqlnav
-from factlens.sources.facts import FACTS_SQL, Facts, from_tables
+from factlens.sources import database
+from factlens.sources.facts import FACTS_SQL, TABLES, Facts, from_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -262,3 +264,184 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["props_json"] = props_json
 ORACLE["props_json"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
+
+
+def props_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same properties, typed by a schema instead of by hand."""
+    schema = {"type": "object", "properties": {"k": {"$ref": "#/$defs/count"}}, "$defs": {"count": {"type": ["integer", "null"]}}}
+    e = spark.read.schema(TABLES["events"]).parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", *properties(F.col("props"), schema))
+
+
+QUERIES["props_schema"] = props_schema
+ORACLE["props_schema"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+
+
+# --- scopes ------------------------------------------------------------------------------
+def _registry(spark: SparkSession, sf_dir: str) -> scopes.Registry:
+    """Regions as roots, nations as their locations; a nation with suppliers has a head, and the first such one is primary."""
+    t = lambda n: spark.read.schema(TABLES[n]).parquet(f"{sf_dir}/{n}.parquet")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("root"), F.col("n_name").alias("location"))
+    heads = t("supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max("s_suppkey").alias("snapshot"))
+    headed = places.join(heads, "n_nationkey")
+    primary = headed.groupBy("root").agg(F.min_by("location", "n_nationkey").alias("location"))
+    return scopes.Registry(places.select("root", "location"), headed.select("location", "snapshot"), primary)
+
+
+_REGISTRY = "WITH places AS (SELECT n_nationkey, r_name AS root, n_name AS location FROM nation JOIN region ON n_regionkey = r_regionkey), heads AS (SELECT s_nationkey AS n_nationkey, max(s_suppkey) AS snapshot FROM supplier WHERE s_acctbal > 0 GROUP BY 1), headed AS (SELECT * FROM places JOIN heads USING (n_nationkey)), prim AS (SELECT root, arg_min(location, n_nationkey) AS location FROM headed GROUP BY root)"
+
+
+def scope_query(name: str, f: Callable[[scopes.Registry], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(_registry(spark, sf_dir))
+    ORACLE[name] = f"{_REGISTRY} {sql}"
+
+
+scope_query("scope_primary", lambda r: r.select(), "SELECT root, location, snapshot FROM headed JOIN prim USING (root, location)")
+scope_query("scope_locations", lambda r: r.select(locations=["NATION_3", "NATION_7"]), "SELECT root, location, snapshot FROM headed WHERE location IN ('NATION_3', 'NATION_7')")
+scope_query("missing_heads", lambda r: r.missing_heads(), "SELECT root, location FROM places WHERE location NOT IN (SELECT location FROM headed)")
+scope_query("scope_listing", lambda r: r.listing(), "SELECT p.root, p.location, h.snapshot, m.location IS NOT NULL AS is_primary FROM places p LEFT JOIN headed h ON h.location = p.location LEFT JOIN prim m ON m.root = p.root AND m.location = p.location")
+
+
+def _versioned(f: Facts) -> DataFrame:
+    """Occurrences by the root of their package, with the line as the snapshot."""
+    return f.occurrences.where("symbol_id IS NOT NULL").select("symbol_id", F.split("package", "/")[0].alias("root"), F.col("line").alias("snapshot"), "role", "enclosing_id")
+
+
+_VERSIONED = ", v AS (SELECT symbol_id, split_part(package, '/', 1) AS root, line AS snapshot, role, enclosing_id FROM occurrences WHERE symbol_id IS NOT NULL), c AS (SELECT DISTINCT symbol_id, root, snapshot FROM v WHERE role = 'call')"
+query(f"{_VERSIONED} SELECT * FROM v WHERE (symbol_id, root, snapshot) IN (SELECT (symbol_id, root, snapshot) FROM c) OR (symbol_id, root) NOT IN (SELECT (symbol_id, root) FROM c)", "scope_align")(lambda f: scopes.align(_versioned(f), _versioned(f).where("role = 'call'")))
+query(f"{_VERSIONED} SELECT symbol_id AS id, root, snapshot FROM c INTERSECT SELECT symbol_id, root, snapshot FROM v WHERE role = 'write'", "scope_intersect")(lambda f: scopes.intersect(*(_versioned(f).where(F.col("role") == r).withColumnRenamed("symbol_id", "id") for r in ("call", "write"))))
+query(f"{_VERSIONED}, d AS (SELECT symbol_id, min(snapshot) AS first, list(DISTINCT snapshot) AS all_ FROM c GROUP BY 1) SELECT v.*, CASE WHEN list_contains(all_, v.snapshot) THEN v.snapshot ELSE first END AS declared_at FROM v LEFT JOIN d USING (symbol_id) WHERE v.role = 'write'", "used_declaration")(
+    lambda f: scopes.preferred(_versioned(f).where("role = 'write'"), _versioned(f).where("role = 'call'"))
+)
+query("SELECT id, package FROM symbols WHERE module = 'PARTS' OR package = 'ASIA/NATION_2' OR package LIKE 'EUROPE/%'", "scope_predicate")(lambda f: scopes.in_scope(f.symbols, ["PARTS"], ["ASIA/NATION_2", "EUROPE"]).select("id", "package"))
+query("SELECT id FROM symbols WHERE id IN (SELECT symbol_id FROM occurrences WHERE symbol_id IS NOT NULL UNION SELECT type_id FROM implements UNION SELECT interface_id FROM implements)", "active_symbols")(lambda f: ids(scopes.active(f.symbols, f.occurrences, f.implements)))
+query("SELECT id FROM symbols WHERE module = 'ASIA' AND id IN (SELECT enclosing_id FROM occurrences WHERE package LIKE 'ASIA/%')", "own_root")(
+    lambda f: ids(scopes.own_root(f.symbols.where("module = 'ASIA'"), f.occurrences.select(F.split("package", "/")[0].alias("root"), F.col("enclosing_id").alias("symbol_id"))))
+)
+query("SELECT path, line, max(enclosing_id) IS NOT NULL AS any_, count(DISTINCT symbol_id) > 0 AS known FROM occurrences WHERE symbol_id IN (SELECT id FROM red) GROUP BY path, line", "find_references")(
+    lambda f: nav.find_references(f, ids(select.select(f, "func:red *"))).select("path", "line", F.col("enclosing_id").isNotNull().alias("any_"), F.col("symbol_id").isNotNull().alias("known"))
+)
+query("SELECT count(*) FILTER (symbol_id IS NULL) AS omitted FROM occurrences WHERE role = 'call' AND enclosing_id IN (SELECT id FROM symbols WHERE kind = 'method')", "projection_omitted")(lambda f: nav.projected(nav.callees(f, ids(f.symbols.where("kind = 'method'"))))[1])
+
+# --- bounded graphs and changes of graphs --------------------------------------------------
+_PARTS_TREE = "PARTS/ECONOMY"
+
+
+def _groups(f: Facts) -> DataFrame:
+    return f.symbols.select("id", F.col("package").alias("grp"))
+
+
+_BOUNDED = f", inner_ AS (SELECT e.* FROM edges e JOIN symbols a ON a.id = source JOIN symbols b ON b.id = target WHERE a.package NOT LIKE '{_PARTS_TREE}%' AND b.package NOT LIKE '{_PARTS_TREE}%'), {_walk('SELECT id FROM red', True, 2).replace('JOIN edges', 'JOIN inner_')}, kept AS (SELECT id, depth FROM least_ ORDER BY depth, id LIMIT 40)"
+_bounded = lambda f: traverse.bounded_graph(f.edges, ids(select.select(f, "func:red *")), _groups(f), 2, 40, (f"{_PARTS_TREE}", f"{_PARTS_TREE}/..."))
+query(f"{_BOUNDED} SELECT id, depth FROM kept", "graph_bounded_nodes")(lambda f: _bounded(f)[0])
+query(f"{_BOUNDED} SELECT source, target FROM inner_ WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)", "graph_bounded_edges")(lambda f: _bounded(f)[1])
+query(
+    f"{_BOUNDED}, o AS (SELECT DISTINCT 'excluded' AS reason, target AS id FROM edges JOIN symbols ON id = target WHERE package LIKE '{_PARTS_TREE}%' AND source IN (SELECT id FROM kept) UNION ALL SELECT 'node_limit', id FROM least_ WHERE id NOT IN (SELECT id FROM kept) UNION ALL SELECT 'beyond_depth', target FROM inner_ WHERE source IN (SELECT id FROM kept WHERE depth = 2) AND target NOT IN (SELECT id FROM least_)) SELECT reason, package AS grp, count(*) AS n FROM o LEFT JOIN symbols USING (id) GROUP BY 1, 2",
+    "graph_omitted",
+)(lambda f: _bounded(f)[2])
+query(f", {_walk('SELECT id FROM red', True, 3)} SELECT id AS target, depth AS hops FROM least_ WHERE id IN (SELECT symbol_id FROM effects)", "graph_paths_to")(
+    lambda f: traverse.paths_to(f.edges, ids(select.select(f, "func:red *")), f.effects.select(F.col("symbol_id").alias("id")), 3).groupBy("target").agg(F.max("hop").alias("hops"))
+)
+query(", n(symbol_id, effect, hops) AS (SELECT symbol_id, effect, 0 FROM effects UNION SELECT e.source, n.effect, n.hops + 1 FROM n JOIN edges e ON e.target = n.symbol_id WHERE n.hops < 3) SELECT symbol_id, effect, min(hops) AS hops FROM n GROUP BY 1, 2", "effects_explained")(lambda f: traverse.nearest_effects(f.edges, f.effects, 3).select("symbol_id", "effect", "hops"))
+
+
+def _number(c: str) -> str:
+    return f"cast(substring({c}, 3) as bigint)"
+
+
+def _since(f: Facts) -> tuple[DataFrame, DataFrame]:
+    """Functions reached from the red ones before and after some calls went, some came and some bodies changed."""
+    n = F.expr(_number("id"))
+    nodes = [ids(f.symbols.where("kind = 'func'")).withColumn("fp", F.when((n % 9 == 0) & F.lit(k == 1), 1).otherwise(0)) for k in (0, 1)]
+    edges = [f.edges.where(f"{_number('source')} % 7 != {k}") for k in (0, 1)]
+    return compare.since((edges[0], nodes[0]), (edges[1], nodes[1]), ids(select.select(f, "func:red *")), 2)
+
+
+def _both_walks() -> str:
+    walks = []
+    for k in (0, 1):
+        w = _walk("SELECT id FROM red", True, 2).replace("JOIN edges", f"JOIN e{k}").replace("w(", f"w{k}(").replace(" w ", f" w{k} ").replace("w.", f"w{k}.").replace("least_", f"l{k}")
+        walks.append(f"e{k} AS (SELECT * FROM edges WHERE CAST(substr(source, 3) AS BIGINT) % 7 <> {k}), {w}, d{k} AS (SELECT source, target FROM e{k} WHERE source IN (SELECT id FROM l{k} WHERE depth < 2))")
+    return ", " + ", ".join(walks)
+
+
+query(f"{_both_walks()} SELECT id, change, depth FROM (SELECT id, CASE WHEN l0.depth IS NULL THEN 'added' WHEN l1.depth IS NULL THEN 'removed' WHEN CAST(substr(id, 3) AS BIGINT) % 9 = 0 THEN 'changed' END AS change, least(l0.depth, l1.depth) AS depth FROM l0 FULL JOIN l1 USING (id)) WHERE change IS NOT NULL", "since_nodes")(lambda f: _since(f)[0])
+query(f"{_both_walks()} SELECT source, target, 'removed' AS change FROM (FROM d0 EXCEPT FROM d1) UNION ALL SELECT source, target, 'added' FROM (FROM d1 EXCEPT FROM d0)", "since_edges")(lambda f: _since(f)[1])
+
+
+# --- texts, files and catalogues ----------------------------------------------------------
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents before and after a line came at the top, and in every third one also one at the end went."""
+    d = spark.read.schema(TABLES["documents"]).parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.concat(F.lit("== first of "), F.col("doc_id").cast("string"), F.lit("\n"))
+    tail = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n== last"))).otherwise(F.col("text"))
+    return d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").cast("string").alias("key"), "source", tail.alias("old"), F.concat(mark, "text").alias("new"))
+
+
+# an end of line before the end of a text is one line more when another follows it
+_TEXTS = "WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), c AS (SELECT *, doc_id % 3 = 0 AS tail, suffix(text, chr(10)) AS ended, text = '' AS bare FROM d), l AS (SELECT CAST(doc_id AS VARCHAR) AS key, source, source || '/' || doc_id AS path, CAST(1 AS BIGINT) AS added, CAST(CASE WHEN NOT tail THEN 0 WHEN ended OR bare THEN 2 ELSE 1 END AS BIGINT) AS removed FROM c)"
+
+
+def text_query(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(_texts(spark, sf_dir))
+    ORACLE[name] = f"{_TEXTS} {sql}"
+
+
+text_query("line_changes", compare.line_changes, "SELECT key, added, removed FROM l")
+text_query("patch_counts", lambda t: compare.hunks(compare.patches(t)).groupBy(F.col("new_path").alias("path")).agg(F.sum("added").alias("added"), F.sum("removed").alias("removed")), "SELECT path, CAST(added AS BIGINT) AS added, removed FROM l")
+text_query(
+    "line_roll_up", lambda t: compare.roll_up(compare.line_changes(t).join(t.select("key", F.col("source").alias("package"), "path"), "key")), "SELECT source AS package, path, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, CAST(2 - (source IS NOT NULL)::INT - (path IS NOT NULL)::INT AS BIGINT) AS level FROM l GROUP BY ROLLUP (source, path)"
+)
+
+
+@query("SELECT path, CASE CAST(split_part(path, '/', -1) AS BIGINT) % 10 WHEN 1 THEN 'removed' WHEN 2 THEN 'added' ELSE 'changed' END AS change FROM files WHERE CAST(split_part(path, '/', -1) AS BIGINT) % 10 IN (1, 2, 3)", "changed_files")
+def _changed_files(f: Facts) -> DataFrame:
+    n = F.substring_index("path", "/", -1).cast("long") % 10
+    rows = analysis.file_rows(f.files, True).select("path", "digest")
+    return compare.changed_files(rows.where(n != 2), rows.where(n != 1).withColumn("digest", F.when(n == 3, F.reverse("digest")).otherwise(F.col("digest"))))
+
+
+query("SELECT id AS old, id || '+' AS new FROM (SELECT *, count(*) OVER (PARTITION BY package, name) AS n FROM symbols WHERE kind = 'func') WHERE n = 1", "retyped")(
+    lambda f: (lambda s: compare.retyped(s, s.withColumn("id", F.concat("id", F.lit("+")))))(f.symbols.where("kind = 'func'").select("id", "package", "kind", "owner_id", "name"))
+)
+query("SELECT package AS owner, name AS key, CAST(1 AS INT) AS nth, 'changed' AS change FROM symbols WHERE kind = 'record' AND visibility = 'private'", "member_diff")(
+    lambda f: (lambda m: compare.members(m, m.withColumn("hash", F.when(F.col("visibility") == "private", "other").otherwise(F.col("hash")))))(f.symbols.where("kind = 'record'").select(F.col("package").alias("owner"), F.col("name").alias("key"), F.lit(1).alias("nth"), F.lit("h").alias("hash"), "visibility"))
+)
+query(
+    ", t AS (SELECT DISTINCT symbol_id, run_id, statements, covered FROM coverage), h AS (SELECT symbol_id, count(*) AS n, min(statements) AS s, min(covered) AS c, sha256(unhex(string_agg(printf('%016x', statements), '' ORDER BY statements, covered))) AS hs, sha256(unhex(string_agg(printf('%016x', covered), '' ORDER BY statements, covered))) AS hc FROM (SELECT DISTINCT symbol_id, statements, covered FROM t) GROUP BY 1), g AS (SELECT *, ('0x' || hs[1:16])::UBIGINT::HUGEINT AS us, ('0x' || hc[1:16])::UBIGINT::HUGEINT AS uc FROM h) SELECT symbol_id, CASE WHEN n = 1 THEN s ELSE CAST(us - CASE WHEN us >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) END AS statements, CASE WHEN n = 1 THEN c ELSE CAST(uc - CASE WHEN uc >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) END AS covered FROM g",
+    "fingerprint_fold",
+)(lambda f: history.fold_fingerprints(f.coverage, "symbol_id", "statements", "covered"))
+
+
+def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.schema(TABLES["part"]).parquet(f"{sf_dir}/part.parquet")
+    parts = {"module": F.col("p_size"), "package": F.col("p_partkey") % 65536, "visibility": F.col("p_partkey") % 2, "kind": F.col("p_size") % 64, "local": F.col("p_partkey")}
+    packed = p.select("p_partkey", pack_handle(**parts).alias("handle"))
+    back = unpack_handle(F.col("handle"))
+    return packed.select("p_partkey", "handle", back["module"], back["local"])
+
+
+QUERIES["symbol_handles"] = handles
+ORACLE["symbol_handles"] = "SELECT p_partkey, ((((p_size::BIGINT << 16 | p_partkey % 65536) << 1 | p_partkey % 2) << 6 | p_size % 64) << 29) | p_partkey AS handle, p_size::BIGINT AS module, p_partkey AS local FROM part"
+
+
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogues of the same tables: one lacks a column, the other has it with another type."""
+    c = database.from_folder(spark, sf_dir, ["part", "supplier"])
+    after = c.where("column != 'p_size'").withColumn("type", F.when(F.col("column") == "s_name", "text").otherwise(F.col("type"))).withColumn("schema", F.lit("other"))
+    return compare.columns_diff(c, after)
+
+
+QUERIES["schema_diff"] = schema_diff
+ORACLE["schema_diff"] = "SELECT * FROM (VALUES ('part', 'p_size', 'removed'), ('supplier', 's_name', 'changed')) AS t(\"table\", \"column\", change)"
+query(
+    ", i AS (SELECT DISTINCT c.package AS source, s.package AS target FROM occurrences o JOIN symbols c ON c.id = o.enclosing_id JOIN symbols s ON s.id = o.symbol_id WHERE o.role = 'call' AND c.package LIKE 'ASIA/%'), r(id, needs) AS (SELECT DISTINCT package, package FROM symbols UNION SELECT r.id, i.target FROM r JOIN i ON i.source = r.needs) SELECT id AS package, count(*) AS n_packages FROM r GROUP BY id",
+    "package_closure",
+)(lambda f: _closure(f))
+
+
+def _closure(f: Facts) -> DataFrame:
+    s = f.symbols.select("id", "package")
+    calls = f.occurrences.where("role = 'call' AND symbol_id IS NOT NULL AND package LIKE 'ASIA/%'").select(F.col("package").alias("source"), "symbol_id").distinct()
+    imports = calls.join(s.select(F.col("id").alias("symbol_id"), F.col("package").alias("target")), "symbol_id").select("source", "target").distinct()
+    return traverse.package_closure(imports, s.select("package").distinct()).groupBy("package").agg(F.count("*").alias("n_packages"))
