@@ -13,7 +13,8 @@ give the earliest by (turn, content) and their number; results without a call ar
 of their own with name null.  Arguments that aren't a JSON object, tools without a
 schema, missing, unexpected or wrongly typed fields are errors, listed in order.  A call
 that comes after an unknown call ignores it; calls in a cycle have level null.  Null
-identifiers link with nothing.  Repeated calls are lines each.
+identifiers link with nothing.  Repeated calls are lines each.  Turns that neither call
+nor answer are lines of their own, with their role as name and their text as result.
 """
 
 from __future__ import annotations
@@ -80,11 +81,12 @@ def argument_errors(arguments: Column, fields: Column) -> Column:
     return F.when(~is_object, F.array(F.lit("arguments"))).when(fields.isNull(), F.array(F.lit("schema"))).otherwise(whole)
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv_id, turn, call_id, name, level, n_results, errors, json), a row for each call and each result without one.
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(conv_id, turn, call_id, name, level, n_results, errors, json), a row for each call, each result without one and each other turn.
 
     calls (conv_id, turn, call_id, name, arguments, after); results (conv_id, turn,
-    call_id, content); schemas as SCHEMA, one row a field.
+    call_id, content); schemas as SCHEMA, one row a field; others (conv_id, turn, role,
+    content), whose role is an error unless it is system.
     """
     scratch = Scratch(calls.sparkSession, "chat-format")
     level = levels(calls, scratch)
@@ -95,6 +97,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     named = calls.where("call_id IS NOT NULL").select("conv_id", "call_id").distinct()
     alone = results.join(named, ["conv_id", "call_id"], "left_anti").select("conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("long").alias("level"), F.lit(1).cast("long").alias("n_results"), F.col("content").alias("result"), F.array(F.lit("call")).alias("errors"))
     rows = linked.union(alone)
+    if others is not None:
+        null = lambda t: F.lit(None).cast(t)
+        unknown = F.when(F.col("role") == "system", F.array().cast("array<string>")).otherwise(F.array(F.lit("role")))
+        rows = rows.union(others.select("conv_id", "turn", null("string").alias("call_id"), F.col("role").alias("name"), null("string").alias("arguments"), null("long").alias("level"), F.lit(0).cast("long").alias("n_results"), F.col("content").alias("result"), unknown.alias("errors")))
     # a variant keeps an object's keys sorted; text that isn't JSON stays text
     arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.get(F.split(F.substring(F.to_json(F.struct(F.col("arguments").alias("x"))), 6, 1 << 30), "}$"), F.lit(0)))
     body = F.to_json(F.struct("call_id", "errors", "level", "name", "result"), {"ignoreNullFields": "false"})
@@ -105,14 +111,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     """Conversations read as tool use: a user turn calls the assistant, whose next turn is the result.
 
-    Each call comes after the one of the exchange before it.
+    Each call comes after the one of the exchange before it.  Turns of any other role,
+    or of none, are kept as lines without a call.
     """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
     calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"))).alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     schemas = spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "turn", "integer", True)], SCHEMA)
-    out = link(calls, results, schemas)
+    others = turns.where("coalesce(role, '') NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    out = link(calls, results, schemas, others)
     return out.select("conv_id", "turn", "call_id", "level", "n_results", F.size("errors").cast("long").alias("n_errors"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
 
 
