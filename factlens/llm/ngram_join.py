@@ -14,6 +14,9 @@
     classes, cut into blocks of members; a task compares two blocks by counting common
     shingles as a product of matrices, and returns a spanning forest of the links.
     Blocks of one component are skipped.  No pair is left out, and none is a row.
+6.  Links lie inside components, so they are counted there, once components are known:
+    a task compares two blocks of a component and returns row sums of the product, each
+    entity weighted by its copies.  Small components share a block.
 
 Defined results: texts without words have no set, link with nothing, and are components
 of their own.  Rows of one doc_id are nodes of one id.  A null doc_id counts as the
@@ -186,6 +189,43 @@ def _common(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counted(blocks: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(e, links): for each entity of a group (cls, i, j) of `blocks` (cls, i, j, block, e, copies, text) the rows of similar sets in the other block, or in its own if i = j."""
+
+    def work(table: pa.Table) -> pa.Table:
+        texts = plain(table.column("text"))
+        sets = [_sets(part, k)[:3] for _, part in slices(texts)]
+        n = np.concatenate([x[2] for x in sets])
+        common = _common(np.concatenate([x[0] for x in sets]), np.concatenate(([0], np.cumsum(n))))
+        near = common * (den + num) >= num * (n[:, None] + n[None, :])
+        np.fill_diagonal(near, False)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            block = table.column("block").to_numpy()
+            near &= block[:, None] != block[None, :]
+        return pa.table({"e": table.column("e"), "links": pa.array(near @ table.column("copies").to_numpy())})
+
+    return blocks.groupBy("cls", "i", "j").applyInArrow(work, "e long, links long")
+
+
+def _degrees(known: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(e, links): the number of rows whose sets are similar to that of an entity of `known` (e, root, copies), without its own copies."""
+    sized = known.join(known.groupBy("root").agg(F.count("*").alias("members")), "root")
+    small = F.col("members") <= BLOCK
+    n_small = sized.where(small).count()
+    bins = F.lit(max(1, -(-n_small // BLOCK)))
+    large = F.ceil(F.col("members") / BLOCK)
+    # components of up to a block are dealt whole to bins; a larger one is a class of its own
+    placed = sized.select(
+        F.when(small, F.pmod(F.xxhash64("root"), bins)).otherwise(F.col("root")).alias("cls"), F.when(small, F.lit(-1)).otherwise(F.pmod(F.xxhash64("e"), large)).cast("long").alias("block"), F.when(small, F.lit(0)).otherwise(large).cast("long").alias("blocks"), "e", "copies"
+    )
+    placed = scratch.write(placed, "placed")
+    other = F.when(F.col("blocks") == 0, F.array(F.col("block"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    pairs = placed.select("cls", "block", "e", "copies", F.explode(other).alias("o"))
+    pairs = pairs.select("cls", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "e", "copies")
+    tasks = pairs.join(texts, "e").select("cls", "i", "j", "block", "e", "copies", "text")
+    return _counted(tasks, k, num, den).groupBy("e").agg(F.sum("links").alias("links"))
+
+
 def _compared(blocks: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that span each group (cls, i, j) of `blocks` (cls, i, j, e, text)."""
 
@@ -206,14 +246,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
     Documents link when den * |A and B| >= num * |A or B| for their sets of k-word
     shingles.  component_id is the smallest doc_id that links reach.  n_links counts the
-    verified links of the row's set with other sets; it is a lower bound within a
-    component, since links between sets known to be joined aren't all verified.
+    other rows that the row links with, exact copies included.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     member = scratch.write(_members(rows, k, num, den), "member")
-    entity = scratch.write(member.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u")), "entity")
+    entity = scratch.write(member.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u"), F.count("*").alias("copies")), "entity")
 
     prefix = _prefixes(rows, entity.select("e", "n", "u"), k, num, den, _low(num, den), scratch, "prefix")
     scratch.release()
@@ -297,14 +336,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     links.append(scratch.write(_compared(tasks.select("cls", "i", "j", "e", "text"), k, num, den), "links-2"))
     roots = linked(links, "all")
 
-    every = links[0].union(links[1]).union(links[2])
-    degree = every.select(F.col("a").alias("e")).union(every.select(F.col("b").alias("e"))).groupBy("e").agg(F.count("*").alias("n_links"))
-    known = roots.withColumnRenamed("node", "e").join(entity.select("e", "doc_id"), "e")
+    known = roots.withColumnRenamed("node", "e").join(entity.select("e", "doc_id", "copies"), "e")
+    degree = scratch.write(_degrees(known.select("e", "root", "copies"), texts, k, num, den, scratch), "degree")
     lowest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = known.join(lowest, "root").select("e", "component_id")
-    label = entity.select("e", "doc_id").join(known, "e", "left").join(degree, "e", "left").select("e", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    label = entity.select("e", "doc_id", "copies").join(known, "e", "left").join(degree, "e", "left").select("e", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     label = scratch.write(label, "label")
-    scratch.drop("texts", "tokens", "grouped", "prefix", "open", "open-texts", "again", "blocked")
+    scratch.drop("texts", "tokens", "grouped", "prefix", "open", "open-texts", "again", "blocked", "placed")
     scratch.release()
     out = member.join(label, "e", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
     return out.select(*(F.when(F.col(c) == NO_ID, None).otherwise(F.col(c)).alias(c) if c.endswith("id") else c for c in out.columns))
