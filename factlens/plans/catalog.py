@@ -245,7 +245,7 @@ query("SELECT enclosing_id, sha256(string_agg(strlen(symbol_id) || ':' || symbol
 query(
     ", k AS (SELECT DISTINCT test_id FROM results WHERE outcome = 'pass' AND test_id < 't:2' AND run_id IN (SELECT max(run_id) FROM (SELECT DISTINCT run_id FROM results WHERE test_id < 't:2') WHERE run_id NOT IN (SELECT run_id FROM results WHERE outcome = 'fail' AND test_id < 't:2'))) SELECT DISTINCT test_id, test_id IN (SELECT test_id FROM k) AS skip FROM results WHERE test_id < 't:2'",
     "skip_plan",
-)(lambda f: analysis.skip_plan(f.results.where("test_id < 't:2'"), f.results.where("test_id < 't:2'").select("test_id", "closure").distinct()))
+)(lambda f: analysis.skip_plan(f.results, f.results.select("test_id", "closure").distinct()))
 query("SELECT package, count(*) AS n FROM symbols GROUP BY package", "package_facet")(lambda f: analysis.package_facet(f.symbols))
 query("SELECT package, kind, count(*) AS n, CAST(grouping(package, kind) AS BIGINT) AS level FROM symbols GROUP BY ROLLUP (package, kind)", "rollup_by_package")(lambda f: analysis.rollup_counts(f.symbols))
 query(
