@@ -316,7 +316,7 @@ query(f"{_VERSIONED}, d AS (SELECT symbol_id, min(snapshot) AS first, list(DISTI
 query("SELECT id, package FROM symbols WHERE module = 'PARTS' OR package = 'ASIA/NATION_2' OR package LIKE 'EUROPE/%'", "scope_predicate")(lambda f: scopes.in_scope(f.symbols, ["PARTS"], ["ASIA/NATION_2", "EUROPE"]).select("id", "package"))
 query("SELECT id FROM symbols WHERE id IN (SELECT symbol_id FROM occurrences WHERE symbol_id IS NOT NULL UNION SELECT type_id FROM implements UNION SELECT interface_id FROM implements)", "active_symbols")(lambda f: ids(scopes.active(f.symbols, f.occurrences, f.implements)))
 query("SELECT id FROM symbols WHERE module = 'ASIA' AND id IN (SELECT enclosing_id FROM occurrences WHERE package LIKE 'ASIA/%')", "own_root")(
-    lambda f: ids(scopes.own_root(f.symbols.where("module = 'ASIA'"), f.occurrences.select(F.split("package", "/")[0].alias("root"), F.col("enclosing_id").alias("symbol_id"))))
+    lambda f: ids(scopes.own_root(f.symbols, f.occurrences.select(F.split("package", "/")[0].alias("root"), F.col("enclosing_id").alias("symbol_id"))))
 )
 query("SELECT path, line, max(enclosing_id) IS NOT NULL AS any_, count(DISTINCT symbol_id) > 0 AS known FROM occurrences WHERE symbol_id IN (SELECT id FROM red) GROUP BY path, line", "find_references")(
     lambda f: nav.find_references(f, ids(select.select(f, "func:red *"))).select("path", "line", F.col("enclosing_id").isNotNull().alias("any_"), F.col("symbol_id").isNotNull().alias("known"))
@@ -442,6 +442,6 @@ query(
 
 def _closure(f: Facts) -> DataFrame:
     s = f.symbols.select("id", "package")
-    calls = f.occurrences.where("role = 'call' AND symbol_id IS NOT NULL AND package LIKE 'ASIA/%'").select(F.col("package").alias("source"), "symbol_id").distinct()
+    calls = f.occurrences.where("role = 'call' AND symbol_id IS NOT NULL").select(F.col("package").alias("source"), "symbol_id").distinct()
     imports = calls.join(s.select(F.col("id").alias("symbol_id"), F.col("package").alias("target")), "symbol_id").select("source", "target").distinct()
     return traverse.package_closure(imports, s.select("package").distinct()).groupBy("package").agg(F.count("*").alias("n_packages"))
