@@ -258,18 +258,17 @@ def catalog_effects(symbols: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("id").alias("symbol_id"), "effect")
 
 
-def strong_components(edges: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
-    """(id, component) of small graphs: symbols that reach each other within `most` hops share the smallest id."""
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of small graphs: symbols that reach each other, over any number of hops, share the smallest id."""
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     cut = Rounds(edges.sparkSession).cut
     reach = cut(edges.select("source", "target").distinct())
-    new = reach
-    for _ in range(most):
+    new, parts = reach, 1
+    while new.limit(1).count():
         step = new.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
         new = cut(step.join(reach, ["source", "target"], "left_anti"))
-        if not new.limit(1).count():
-            break
-        reach = reach.union(new)
+        parts += 1
+        reach = cut(reach.union(new)) if parts % 8 == 0 else reach.union(new)
     both = reach.join(reverse(reach), ["source", "target"])
     least = both.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("m"))
     return nodes.join(least, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))

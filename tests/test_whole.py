@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+from factlens.operators import traverse
 from factlens.plans import catalog
 
 
@@ -24,3 +25,11 @@ def test_package_closure_and_own_root_take_all_modules(spark, monkeypatch):
     monkeypatch.setattr(catalog, "from_tables", lambda spark, sf_dir: facts)
     assert rows(catalog.QUERIES["package_closure"](spark, "")) == [("AFRICA/w", 1), ("ASIA/x", 3), ("EUROPE/y", 2), ("EUROPE/z", 1)]
     assert rows(catalog.QUERIES["own_root"](spark, "")) == [("a",), ("b",)]
+
+
+def test_strong_components_of_long_cycles(spark):
+    """Cycles of 21 and 11 nodes, a chain between them, and a node that calls itself."""
+    cycle = lambda p, n: [(f"{p}{i:02}", f"{p}{(i + 1) % n:02}") for i in range(n)]
+    edges = cycle("x", 21) + cycle("y", 11) + [("x05", "m"), ("m", "y03"), ("s", "s")]
+    want = [(f"x{i:02}", "x00") for i in range(21)] + [(f"y{i:02}", "y00") for i in range(11)] + [("m", "m"), ("s", "s")]
+    assert rows(traverse.strong_components(spark.createDataFrame(edges, "source string, target string"))) == sorted(want)
