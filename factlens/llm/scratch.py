@@ -10,7 +10,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Scratch:
@@ -25,6 +26,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def counted(self, df: DataFrame, name: str, **when: str) -> tuple[DataFrame, dict[str, int]]:
+        """The written table, and how many of its rows hold each condition, counted as they are written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *(F.count(F.expr(f"CASE WHEN {c} THEN 1 END")).alias(k) for k, c in when.items())), name)
+        return out, {k: int(v or 0) for k, v in seen.get.items()}
+
     def drop(self, *names: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         for name in names:

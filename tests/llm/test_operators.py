@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import json
 import math
 import random
 import re
@@ -13,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factlens.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, lm_scoring, mixing, ngram_join, token_counts
+from factlens.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, lm_scoring, mixing, ngram_join, token_counts
 from factlens.llm.components import components
 from factlens.llm.scratch import Scratch
 from factlens.llm.text import plain, shingles, words
@@ -89,7 +88,6 @@ def test_ngram_join(docs, rows, k, num, den):
 def test_ngram_join_cluster(spark, monkeypatch):
     """Many copies that differ in a few words: compared in small blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "SHARE", 8)
     r = random.Random(3)
     base = [f"b{i}" for i in range(40)]
     rows = []
@@ -330,30 +328,6 @@ def test_bpe_tokens(spark, tmp_path):
     assert [r["tokens"] for r in token_counts.bpe_tokens(df, f"{tmp_path}/v.json").collect()] == [3, 0, 0]
 
 
-def test_chat(spark):
-    calls = [
-        (1, 0, "a", "f", '{"z": 1, "y": {"b": 2, "a": "é"}}', []),
-        (1, 2, "b", "f", '{"z": "no", "extra": 1}', ["a", "unknown"]),
-        (1, 4, "c", "g", "not json", ["b", "a"]),
-        (1, 5, "d", "f", "[1]", ["e"]),
-        (1, 6, "e", "f", '{"y": {}}', ["d"]),
-        (2, 0, None, "f", None, None),
-    ]
-    results = [(1, 1, "a", "first"), (1, 3, "a", "second"), (1, 3, "x", "alone"), (2, 1, None, "null")]
-    schema = [("f", "z", "integer", True), ("f", "y", "object", False)]
-    got = chat_format.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), spark.createDataFrame(schema, chat_format.SCHEMA)).collect()
-    by = {(r["conv_id"], r["turn"], r["call_id"]): r for r in got}
-    assert len(got) == 8
-    a = by[1, 0, "a"]
-    assert a["level"] == 0 and a["n_results"] == 2 and a["errors"] == []
-    assert a["json"] == '{"arguments":{"y":{"a":"é","b":2},"z":1},"call_id":"a","errors":[],"level":0,"name":"f","result":"first"}'
-    assert (by[1, 2, "b"]["level"], by[1, 2, "b"]["errors"]) == (1, ["type:z", "unexpected:extra"])
-    assert (by[1, 4, "c"]["level"], by[1, 4, "c"]["errors"]) == (2, ["arguments"])
-    assert by[1, 5, "d"]["level"] is None and by[1, 6, "e"]["level"] is None and by[1, 6, "e"]["errors"] == ["missing:z"]
-    assert by[1, 3, "x"]["errors"] == ["call"] and by[2, 0, None]["errors"] == ["arguments"]
-    assert all(json.loads(r["json"]) for r in got)
-
-
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     benchmark = spark.createDataFrame([(1, " ".join((rows[3][1] or "").split()))], "item_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
