@@ -16,7 +16,30 @@ def line_count(text: Column) -> Column:
 
 def file_rows(files: DataFrame, include_excluded: bool = False) -> DataFrame:
     f = files if include_excluded else files.where("NOT excluded")
-    return f.select("path", "package", "language", line_count(F.col("content")).alias("lines"), F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("digest"))
+    return f.select("path", "package", "language", line_count(F.col("content")).alias("lines"), F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("digest"), "build")
+
+
+def declaration_counts(declared_in: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, definitions, functions, structs) of the symbols (path, symbol_id) that files declare.
+
+    Functions are funcs and methods of types that aren't interfaces; structs are types of that form.
+    """
+    kinds = symbols.select(F.col("id").alias("symbol_id"), "kind", "form", "owner_id")
+    faces = symbols.where("kind = 'interface'").select(F.col("id").alias("owner_id"), F.lit(True).alias("face"))
+    rows = declared_in.distinct().join(kinds, "symbol_id").join(faces, "owner_id", "left")
+    function = (F.col("kind") == "func") | ((F.col("kind") == "method") & F.col("face").isNull())
+    n = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("path").agg(F.count("*").alias("definitions"), n(function).alias("functions"), n((F.col("kind") == "struct") | (F.col("kind").eqNullSafe("type") & F.col("form").eqNullSafe("struct"))).alias("structs"))
+
+
+def head_files(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """(root, path, language, excluded) of the files of roots that have a head (root)."""
+    return files.withColumn("root", F.split("path", "/")[0]).join(heads.select("root").distinct(), "root", "left_semi").select("root", "path", "language", "excluded")
+
+
+def grouped_by_package(rows: DataFrame, key: str = "name") -> DataFrame:
+    """(package, members): the distinct names of nodes of each package in order, and how many there are."""
+    return rows.select("package", key).distinct().groupBy("package").agg(F.array_sort(F.collect_list(key)).alias("members"), F.count("*").alias("n"))
 
 
 def package_facet(symbols: DataFrame) -> DataFrame:
@@ -28,6 +51,11 @@ def rollup_counts(rows: DataFrame) -> DataFrame:
     return rows.rollup("package", "kind").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
+def since_started(results: DataFrame, runs: DataFrame, since: int) -> DataFrame:
+    """Results of the runs (run_id, started) that started then or later."""
+    return results.join(runs.where(F.col("started") >= since).select("run_id"), "run_id", "left_semi").select(*results.columns)
+
+
 def flaky(results: DataFrame) -> DataFrame:
     """Per test: runs, retry flakes (runs with both outcomes), and the failure rate over the groups that flaked.
 
@@ -46,10 +74,15 @@ def last_outcome(results: DataFrame) -> DataFrame:
     return results.groupBy("test_id").agg(F.max_by("outcome", F.struct("run_id", "attempt")).alias("outcome"))
 
 
-def coverage_ratio(coverage: DataFrame) -> DataFrame:
-    """The newest run's covered share of each symbol and content; no statements give null."""
-    newest = coverage.groupBy("symbol_id", "fp").agg(F.max_by(F.struct("statements", "covered"), "run_id").alias("x"))
-    return newest.select("symbol_id", F.when(F.col("x.statements") > 0, F.col("x.covered") / F.col("x.statements")).alias("ratio"))
+def newest_coverage(coverage: DataFrame, runs: DataFrame) -> DataFrame:
+    """(symbol_id, fp, generation, ratio) of the run that started last, of equal ones the least id, without what single tests cover; no statements give null."""
+    whole = coverage.where("test_id IS NULL").join(runs, "run_id")
+    newest = whole.groupBy("symbol_id", "fp").agg(F.max_by(F.struct("statements", "covered", "generation"), F.struct("started", -F.col("run_id"))).alias("x"))
+    return newest.select("symbol_id", "fp", F.col("x.generation").alias("generation"), F.when(F.col("x.statements") > 0, F.col("x.covered") / F.col("x.statements")).alias("ratio"))
+
+
+def coverage_ratio(coverage: DataFrame, runs: DataFrame) -> DataFrame:
+    return newest_coverage(coverage, runs).select("symbol_id", "ratio")
 
 
 def innermost(blocks: DataFrame, extents: DataFrame) -> DataFrame:
@@ -73,12 +106,45 @@ def set_digest(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sha2(F.array_join(item, "").cast("binary"), 256).alias("digest"))
 
 
-def skip_plan(results: DataFrame, current: DataFrame) -> DataFrame:
-    """(test_id, skip): a test is skipped if it passed in the newest run with no failed test, with the closure it has now."""
-    bad = results.where("outcome = 'fail'").select("run_id").distinct()
-    base = results.select("run_id").distinct().join(bad, "run_id", "left_anti").agg(F.max("run_id").alias("run_id"))
-    ok = results.join(F.broadcast(base), "run_id").where("outcome = 'pass'").select("test_id", F.col("closure").alias("was")).distinct()
-    return current.join(ok, "test_id", "left").select("test_id", F.coalesce(F.col("was") == F.col("closure"), F.lit(False)).alias("skip"))
+def closures(edges: DataFrame, symbols: DataFrame, tests: DataFrame, depth: int = 8) -> DataFrame:
+    """(test_id, digest) of what each test (test_id, symbol_id) reaches within `depth` calls, itself included, with its content (id, fp).
+
+    The walk is one of pairs (test, symbol), so tests share rounds.
+    """
+    from .traverse import Rounds
+
+    cut = Rounds(edges.sparkSession).cut
+    seen = frontier = cut(tests.select("test_id", "symbol_id").distinct())
+    for _ in range(depth):
+        step = frontier.join(edges.select(F.col("source").alias("symbol_id"), "target"), "symbol_id").select("test_id", F.col("target").alias("symbol_id")).distinct()
+        frontier = cut(step.join(seen, ["test_id", "symbol_id"], "left_anti").select("test_id", "symbol_id"))
+        if not frontier.limit(1).count():
+            break
+        seen = seen.union(frontier)
+    item = seen.join(symbols.select(F.col("id").alias("symbol_id"), "fp"), "symbol_id").select("test_id", F.concat_ws("\n", "symbol_id", F.col("fp").cast("string")).alias("item"))
+    return set_digest(item, "test_id", "item")
+
+
+def baseline(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """The run that started last, of equal ones the least id, among those without a failed or broken test."""
+    bad = results.where("outcome IN ('fail', 'error')").select("run_id").distinct()
+    return runs.join(results.select("run_id").distinct(), "run_id", "left_semi").join(bad, "run_id", "left_anti").orderBy(F.col("started").desc(), "run_id").limit(1).select("run_id")
+
+
+def skip_plan(results: DataFrame, current: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(test_id, skip): a test is skipped if it passed in the baseline run with the closure it has now.
+
+    Where both sides have a package fingerprint (package_fp), that must be the same too.
+    Without runs (run_id, started) the greatest run id is the newest.
+    """
+    runs = results.select("run_id", F.col("run_id").alias("started")).distinct() if runs is None else runs
+    same = ["closure", *(["package_fp"] if "package_fp" in results.columns and "package_fp" in current.columns else [])]
+    ok = results.where("outcome = 'pass'").join(baseline(results, runs), "run_id", "left_semi").select("test_id", *(F.col(c).alias(f"was_{c}") for c in same)).distinct()
+    hit = F.lit(True)
+    for c in same:
+        hit = hit & F.col(c).eqNullSafe(F.col(f"was_{c}")) & F.col(c).isNotNull()
+    tried = current.join(ok, "test_id", "left").select("test_id", *same, hit.alias("skip"))
+    return tried.groupBy("test_id", *same).agg(F.max("skip").alias("skip")).select("test_id", "skip")
 
 
 def coverage_gaps(snapshots: DataFrame) -> DataFrame:
@@ -90,19 +156,42 @@ def measures(long: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("symbol_id").pivot("name", names).agg(F.max("value"))
 
 
+def gap_violations(snapshots: DataFrame, rule: str = "coverage-gap") -> DataFrame:
+    """One violation for each snapshot and coverage that a rule can't see through."""
+    gaps = coverage_gaps(snapshots).dropDuplicates(["ordinal", "coverage"])
+    message = F.concat(F.lit("snapshot "), F.col("ordinal").cast("string"), F.lit(" has "), F.coalesce("coverage", F.lit("no")), F.lit(" coverage"))
+    return gaps.select(F.lit(rule).alias("rule"), F.lit("warning").alias("severity"), message.alias("message"))
+
+
+def findings_by(findings: DataFrame, key: str) -> DataFrame:
+    """Violations gathered by `path` or `symbol`: how many, the worst severity, and messages in order."""
+    if key not in ("path", "symbol"):
+        raise ValueError("findings are grouped by path or symbol")
+    rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    item = F.struct(F.coalesce("line", F.lit(0)).alias("line"), "rule", "message")
+    grouped = findings.groupBy(key).agg(F.count("*").alias("n"), F.max_by("severity", rank).alias("worst"), F.array_sort(F.collect_set(item)).alias("items"))
+    return grouped.select(key, "n", "worst", F.transform("items", lambda x: x["message"]).alias("messages"))
+
+
+def change_counts(rows: DataFrame, reason: str = "change") -> DataFrame:
+    return rows.groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def lint(facts, rules: list[dict]) -> DataFrame:
     """Violations of SQL rules: each row of a rule's query gives its message, in rule and row order.
 
     A rule has name, severity, query, message with {field} places, and lists `include`
-    and `exclude` of path patterns.
+    and `exclude` of path patterns.  A query with a limit, a path or a graph is refused.  A
+    column `symbol` of the rows stays beside the message.
     """
     from functools import reduce
 
     from factlens.functions.glob import glob
-    from factlens.plans.sqlnav import run
+    from factlens.plans.sqlnav import row_query, run
 
     out = []
     for rule in rules:
+        row_query(rule["query"])
         rows = run(facts, rule["query"], limit=None)
         if "path" in rows.columns:
             if rule.get("include"):
@@ -112,6 +201,7 @@ def lint(facts, rules: list[dict]) -> DataFrame:
         message = F.lit(rule["message"])
         for c in rows.columns:
             message = F.replace(message, F.lit("{" + c + "}"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
-        site = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("line", "int"))]
+        site = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("line", "int"), ("symbol", "string"))]
         out.append(rows.select(F.lit(rule["name"]).alias("rule"), F.lit(rule.get("severity", "warning")).alias("severity"), message.alias("message"), *site))
-    return reduce(DataFrame.unionByName, out).distinct()
+    found = reduce(DataFrame.unionByName, out).distinct()
+    return found if any("symbol" in {a for _, a in row_query(r["query"]).columns or []} for r in rules) else found.drop("symbol")

@@ -5,9 +5,13 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlens.functions.glob import match_list
+
+from .traverse import Rounds
+
 
 def classify(before: DataFrame, after: DataFrame) -> DataFrame:
     """(key, change) of rows (key, package, public_fp, private_fp, content_fp) that differ: the first that applies."""
@@ -41,14 +45,83 @@ def renamed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def tree_match(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(old, new, by) of tree nodes (key, uuid, symbol, hash): passes by uuid, symbol and hash, unique keys only, each over what is left."""
-    out = None
+    """(old, new, by) of tree nodes (key, uuid, symbol, hash): passes by uuid, symbol and hash, unique keys only, each over what is left.
+
+    A pass counts both sides in one aggregation; its matches are written before the next.
+    """
+    cut = Rounds(a.sparkSession).cut
+    cols = ("key", "uuid", "symbol", "hash")
+    left = a.select(*cols, F.lit(0).alias("side")).union(b.select(*cols, F.lit(1)))
+    out: list[DataFrame] = []
     for c in ("uuid", "symbol", "hash"):
-        got = unique_matches(a, b, c).withColumn("by", F.lit(c))
-        a = a.join(got.select(F.col("old").alias("key")), "key", "left_anti")
-        b = b.join(got.select(F.col("new").alias("key")), "key", "left_anti")
-        out = got if out is None else out.union(got)
-    return out
+        on = [F.when(F.col("side") == k, F.col("key")) for k in (0, 1)]
+        both = left.where(F.col(c).isNotNull()).groupBy(c).agg(*(F.count(x).alias(f"n{k}") for k, x in enumerate(on)), F.min(on[0]).alias("old"), F.min(on[1]).alias("new"))
+        out.append(cut(both.where("n0 = 1 AND n1 = 1").select("old", "new", F.lit(c).alias("by"))))
+        used = out[-1].select(F.col("old").alias("key"), F.lit(0).alias("side")).union(out[-1].select("new", F.lit(1)))
+        left = left.join(used, ["key", "side"], "left_anti").select(*cols, "side")
+    return out[0].union(out[1]).union(out[2])
+
+
+def tree_layers(nodes: DataFrame) -> DataFrame:
+    """(id, public, private, content) of tree nodes (id, parent, kind, name, visibility, body, depth): hashes of a node and all below it.
+
+    The public layer takes public nodes alone, the private one all, and the content their
+    bodies too.  Children are taken from the deepest level up, in the order of their hash.
+    """
+    cut = Rounds(nodes.sparkSession).cut
+    last = nodes.agg(F.max("depth")).first()[0]
+    digest = lambda *parts: F.sha2(F.concat(*(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p, F.lit(",")) for p in parts)).cast("binary"), 256)
+    done: DataFrame | None = None
+    below: DataFrame | None = None
+    for k in range(last if last is not None else -1, -1, -1):
+        here = nodes.where(F.col("depth") == k)
+        if below is not None:
+            inner = below.groupBy("parent").agg(*(F.array_join(F.array_sort(F.collect_list(c)), ",").alias(f"c_{c}") for c in ("public", "private", "content")))
+            here = here.join(inner.withColumnRenamed("parent", "id"), "id", "left")
+        else:
+            here = here.select("*", *(F.lit("").alias(f"c_{c}") for c in ("public", "private", "content")))
+        head = [F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit(""))]
+        inside = {c: F.coalesce(F.col(f"c_{c}"), F.lit("")) for c in ("public", "private", "content")}
+        public = F.when(F.col("visibility") == "public", digest(*head, inside["public"]))
+        layer = cut(here.select("id", "parent", public.alias("public"), digest(*head, F.coalesce("visibility", F.lit("")), inside["private"]).alias("private"), digest(*head, F.coalesce("body", F.lit("")), inside["content"]).alias("content")))
+        below = layer
+        done = layer if done is None else done.union(layer)
+    out = ("id", "public", "private", "content")
+    return nodes.sparkSession.createDataFrame([], "id string, public string, private string, content string") if done is None else done.select(*out)
+
+
+def tree_find(nodes: DataFrame, kinds: list[str] = (), not_kinds: list[str] = (), name: str | None = None, depth: int | None = None, limit: int | None = None, where: Column | None = None) -> DataFrame:
+    """Tree nodes (id, kind, name, depth) by kind, name pattern, greatest depth and a condition, the first `limit` in the order of depth and id."""
+    out = nodes.where(F.col("kind").isin(list(kinds))) if kinds else nodes
+    out = out.where(~F.col("kind").isin(list(not_kinds))) if not_kinds else out
+    out = out.where(match_list(F.col("name"), name)) if name is not None else out
+    out = out.where(F.col("depth") <= depth) if depth is not None else out
+    out = out.where(where) if where is not None else out
+    return out.orderBy("depth", "id").limit(limit) if limit is not None else out
+
+
+def node_publication(nodes: DataFrame) -> DataFrame:
+    """Symbols (id, module, package, kind, owner_id, name, visibility) of tree nodes (id, parent, kind, name, module, package, visibility): containers are no symbols, and nobody's owner."""
+    held = nodes.where(~F.col("kind").isin("module", "package", "file"))
+    owner = held.select(F.col("id").alias("parent"), F.col("id").alias("owner_id"))
+    return held.join(owner, "parent", "left").select("id", "module", "package", "kind", "owner_id", "name", "visibility")
+
+
+def plain_shape(shape: Column, *packages: Column) -> Column:
+    """A declaration's shape without the qualifiers of these packages, so that a moved one has the shape it had."""
+    for p in packages:
+        shape = F.regexp_replace(shape, F.concat(F.lit(r"\b"), F.regexp_replace(F.substring_index(p, "/", -1), r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"\.")), F.lit(""))
+    return shape
+
+
+def shown(changes: DataFrame, visibility: str = "all", kinds: list[str] = ()) -> DataFrame:
+    """Changes (change, visibility, ...) of the kinds asked for; `exported` shows what is public, and no change of structure."""
+    if visibility not in ("all", "exported", "private"):
+        raise ValueError("a visibility is all, exported or private")
+    out = changes.where(F.col("change").isin(list(kinds))) if kinds else changes
+    if visibility == "exported":
+        return out.where((F.col("visibility") == "public") & (F.col("change") != "structure"))
+    return out.where(F.col("visibility") != "public") if visibility == "private" else out
 
 
 def paired(before: DataFrame, after: DataFrame, key: str, order: str) -> DataFrame:

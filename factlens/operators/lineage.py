@@ -44,11 +44,44 @@ def _name(tokens: list[str], i: int) -> tuple[str, int]:
     return ".".join(parts), i
 
 
+def _closing(low: list[str], i: int) -> int:
+    """Where the parenthesis that opens at i closes, or the end."""
+    depth = 0
+    for k in range(i, len(low)):
+        depth += {"(": 1, ")": -1}.get(low[k], 0)
+        if not depth:
+            return k
+    return len(low)
+
+
+def table_expressions(low: list[str]) -> set[str]:
+    """Names that WITH lists give, each with or without a list of columns."""
+    names: set[str] = set()
+    for start in (i + 1 for i, t in enumerate(low) if t == "with"):
+        i = start + 1 if start < len(low) and low[start] == "recursive" else start
+        while i < len(low):
+            name, k = low[i].strip('"[]`'), i + 1
+            if k < len(low) and low[k] == "(":
+                k = _closing(low, k) + 1
+            if k >= len(low) or low[k] != "as":
+                break
+            k += 1
+            while k < len(low) and low[k] in ("not", "materialized"):
+                k += 1
+            if k >= len(low) or low[k] != "(":
+                break
+            names.add(name)
+            k = _closing(low, k) + 1
+            if k >= len(low) or low[k] != ",":
+                break
+            i = k + 1
+    return names
+
+
 def access(tokens: list[str]) -> set[tuple[str, str]]:
     """(access, name) of a statement: read, write or call."""
     low = [t.lower() for t in tokens]
-    ctes = {low[i - 1] for i in range(1, len(low) - 1) if low[i] == "as" and low[i + 1] == "(" and ("with" in low[:i])}
-    ctes |= {low[i - 1] for i in range(1, len(low)) if low[i] == "(" and "with" in low[:i] and ")" in low[i:] and low[i - 1] not in _STOP and i >= 2 and low[i - 2] in ("with", ",") and "as" in low[i : i + 40]}
+    ctes = table_expressions(low)
     out: set[tuple[str, str]] = set()
     alias: dict[str, str] = {}
 

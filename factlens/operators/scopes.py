@@ -77,3 +77,9 @@ def preferred(rows: DataFrame, declarations: DataFrame) -> DataFrame:
     first = d.groupBy("symbol_id").agg(F.min("there").alias("first"))
     own = d.select("symbol_id", F.col("there").alias("snapshot"), F.col("there").alias("own"))
     return rows.join(own, ["symbol_id", "snapshot"], "left").join(first, "symbol_id", "left").select(*rows.columns, F.coalesce("own", "first").alias("declared_at"))
+
+
+def dependencies(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(root, needs): the other modules whose symbols a root's files refer to."""
+    used = occurrences.where("symbol_id IS NOT NULL").select(F.split("package", "/")[0].alias("root"), "symbol_id").distinct()
+    return used.join(symbols.select(F.col("id").alias("symbol_id"), F.col("module").alias("needs")), "symbol_id").where("root != needs").select("root", "needs").distinct()

@@ -108,7 +108,10 @@ def test_graphs_count_what_they_leave_out(spark):
     assert got(nodes) == [("a", 0), ("b", 1)] and got(drawn) == [("a", "b")]
     assert got(out) == [("excluded", "std/io", 1), ("node_limit", "app", 1)]
     assert got(traverse.bounded_graph(edges, root, groups, 2, 9, ("std/...",))[2]) == [("beyond_depth", "app", 1), ("excluded", "std/io", 1)]
-    assert got(traverse.excluded_ids(groups, ("std/...", "none"))) == []
+    assert got(traverse.excluded_ids(groups, ("none",))) == []
+    for wrong in (("std/...", "none"), ("a", "a"), ("",)):
+        with pytest.raises(ValueError):
+            traverse.excluded_ids(groups, wrong)
     paths = traverse.paths_to(edges, root, spark.createDataFrame([("d",), ("b",), ("zz",)], "id string"))
     assert got(paths) == [("b", 0, "a"), ("b", 1, "b"), *(("d", k, n) for k, n in enumerate("abcd"))]
     near = traverse.nearest_effects(edges, spark.createDataFrame([("d", "io"), ("b", "io")], "symbol_id string, effect string"))

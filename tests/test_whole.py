@@ -14,7 +14,7 @@ def test_skip_plan_takes_all_tests(spark, monkeypatch):
     """Run 3 has a failure of t:9, so run 2 is the baseline, for tests of any id."""
     results = [("t:1", 1, "fail", "a"), ("t:1", 2, "pass", "a"), ("t:2", 2, "pass", "b"), ("t:9", 2, "skip", "c"), ("t:1", 3, "pass", "a"), ("t:2", 3, "pass", "b2"), ("t:9", 3, "fail", "c")]
     df = spark.createDataFrame(results, "test_id string, run_id int, outcome string, closure string")
-    monkeypatch.setattr(catalog, "from_tables", lambda spark, sf_dir: SimpleNamespace(results=df))
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: SimpleNamespace(results=df))
     assert rows(catalog.QUERIES["skip_plan"](spark, "")) == [("t:1", True), ("t:2", False), ("t:2", True), ("t:9", False)]
 
 
@@ -22,7 +22,7 @@ def test_package_closure_and_own_root_take_all_modules(spark, monkeypatch):
     symbols = [("a", "ASIA", "ASIA/x"), ("b", "EUROPE", "EUROPE/y"), ("c", "EUROPE", "EUROPE/z"), ("d", "AFRICA", "AFRICA/w")]
     calls = [("ASIA/x", "a", "b", "call"), ("EUROPE/y", "b", "c", "call"), ("EUROPE/z", "d", None, "call"), ("AFRICA/w", "c", "a", "write")]
     facts = SimpleNamespace(symbols=spark.createDataFrame(symbols, "id string, module string, package string"), occurrences=spark.createDataFrame(calls, "package string, enclosing_id string, symbol_id string, role string"))
-    monkeypatch.setattr(catalog, "from_tables", lambda spark, sf_dir: facts)
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: facts)
     assert rows(catalog.QUERIES["package_closure"](spark, "")) == [("AFRICA/w", 1), ("ASIA/x", 3), ("EUROPE/y", 2), ("EUROPE/z", 1)]
     assert rows(catalog.QUERIES["own_root"](spark, "")) == [("a",), ("b",)]
 
