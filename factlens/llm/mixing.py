@@ -10,7 +10,10 @@ source and no global order is ever one task.
 
 Defined results: null texts have size 0; a null source is a source of its own, the last
 one; sources without words, and all documents of them, take nothing.  Repeated rows are
-documents of their own.  Ties in time go by source, copy, shuffle key and doc_id.
+documents of their own.  Ties in time go by source, copy, shuffle key, doc_id and text, so
+that reruns over the rows in any order agree, up to rows that are equal in all of them.
+A document's other columns are not read, and a column of `docs` that has a name of the
+result is replaced in `mixed`.  One task orders the sources, a row each.
 """
 
 from __future__ import annotations
@@ -65,28 +68,28 @@ def _cut(spent: list[tuple[int, int]], budget: float) -> tuple[int, int]:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, part_rows: int = PART_ROWS) -> DataFrame:
     """Each row's (__row, doc_id, size, source_size, target, taken) for `docs` with doc_id, text and source.
 
-    __row counts rows and is stable within one result.  The driver gets one row for each
-    of RANGES ranges of time, and never more.
+    __row is that of `docs` if it has one, and else counts rows and is stable within one
+    result.  The driver gets one row for each of RANGES ranges of time, and never more.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id().alias("__row")
     key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")).cast("binary")), 1, 15), 16, 10).cast("long")
-    sized = scratch.write(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "source", word_count("text").alias("size"), key.alias("key")), "sized")
+    sized = scratch.write(docs.select(row, "doc_id", "source", word_count("text").alias("size"), key.alias("key"), F.xxhash64("text").alias("tie")), "sized")
     return queue(sized, scratch, weights, share, most, part_rows)
 
 
 def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, most: int, part_rows: int) -> DataFrame:
     goal = scratch.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "goal")
-    n_sources, n_rows, total = (*goal.agg(F.count("*"), F.sum("source_size")).first(), 0)[0], sized.count(), 0
-    total = goal.agg(F.sum("source_size")).first()[0] or 0
+    (n_sources, total), n_rows = goal.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first(), sized.count()
     budget = total * share
-    bits = max(4, (max(1, n_rows // part_rows) - 1).bit_length())
+    bits = max(8, (max(1, n_rows // part_rows) - 1).bit_length())
     side = F.broadcast(goal) if n_sources <= FEW_SOURCES else goal
     rows = sized.join(side, sized["source"].eqNullSafe(goal["source"])).drop("source").withColumn("part", F.shiftright("key", 60 - bits))
     base = rows.groupBy("ord", "part").agg(F.sum("size").alias("n"))
     base = base.withColumn("base", F.sum("n").over(Window.partitionBy("ord").orderBy("part")) - F.col("n")).select("ord", "part", "base")
-    own = Window.partitionBy("ord", "part").orderBy("key", "doc_id", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("ord", "part").orderBy("key", "doc_id", "tie", "__row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("own", F.sum("size").over(own)).join(base, ["ord", "part"]).withColumn("sum", F.col("base") + F.col("own"))
-    rows = scratch.write(rows.select("__row", "doc_id", "size", "source_size", "target", "ord", "key", "sum"), "rows")
+    rows = scratch.write(rows.select("__row", "doc_id", "size", "source_size", "target", "ord", "key", "tie", "sum"), "rows")
 
     def finish(copy: int) -> Column:
         return F.when(F.col("target") > 0, (F.col("sum") + F.lit(copy) * F.col("source_size")) / F.col("target"))
@@ -99,7 +102,7 @@ def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: f
     inner = copies.where(coarse == at)
     at2, before2 = _cut([tuple(r) for r in inner.groupBy(F.least(fine, F.lit(RANGES))).agg(F.sum("size")).collect()], budget - before)
     last = inner.where(F.least(fine, F.lit(RANGES)) == at2)
-    line = ("time", "ord", "copy", "key", "doc_id", "__row")
+    line = ("time", "ord", "copy", "key", "doc_id", "tie", "__row")
     spent = F.sum("size").over(Window.orderBy(*line).rowsBetween(Window.unboundedPreceding, 0))
     end = last.withColumn("spent", spent).where(F.col("spent") <= budget - before - before2).agg(F.max(F.struct(*line)).alias("end")).first()[0]
 
@@ -109,7 +112,7 @@ def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: f
         within = F.least(F.floor((time * RANGES - at) * RANGES).cast("long"), F.lit(RANGES))
         tie = F.lit(False)
         if end is not None:
-            mine = F.struct(time.alias("time"), "ord", F.lit(copy).alias("copy"), "key", "doc_id", "__row")
+            mine = F.struct(time.alias("time"), "ord", F.lit(copy).alias("copy"), "key", "doc_id", "tie", "__row")
             tie = mine <= F.struct(*(F.lit(end[c]).cast(last.schema[c].dataType).alias(c) for c in line))
         return F.when(F.coalesce((where < at) | ((where == at) & ((within < at2) | ((within == at2) & tie))), F.lit(False)), F.col("size")).otherwise(F.lit(0))
 
@@ -122,14 +125,12 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with all their columns and size, source_size, target and taken."""
+    """The documents that the mix takes, one row each, with all their columns and size, source_size, target and taken."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    names = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*names)
-    taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0").groupBy("doc_id", "size", "source_size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
-    taken = scratch.write(taken, "taken").withColumnsRenamed({"doc_id": "__id", "size": "__size"})
-    joined = docs.withColumn("__n", word_count("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__size").alias("size"), "source_size", "target", "taken")
+    docs = docs.drop("size", "source_size", "target", "taken", "__row")
+    numbered = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered.select("__row", "doc_id", "text", "source")).where("taken > 0").drop("doc_id")
+    return numbered.join(taken, "__row").select(*(F.col(f"`{c}`") for c in docs.columns), "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""
