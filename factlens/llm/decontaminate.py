@@ -4,14 +4,20 @@ Words are runs of letters, digits and other non-ASCII characters, lower-cased.
 of `seed` words are named by a running Karp-Rabin hash; a document and an item that share
 one are a candidate pair.  Tiling then marks the longest match of unmarked words, and
 again, until no match of `seed` words is left.  Marked words over an item's words is the
-coverage, so that an item whose passages stand in another order is still found.
+coverage, so that an item whose passages stand in another order is still found.  Windows
+that share a hash are compared word by word.  A pair with very many common windows, as
+repeated words give, is tiled by length instead, in memory linear in both texts.
+
+An item of fewer words than `seed` is one window: it is found where all of it stands.
 
 The benchmark is the stated query set: it is read in blocks of at most `block_words`
 words, and each block is one pass over all documents with a bounded index.
 
-Defined results: items or documents with fewer than `seed` words, null or empty texts
-match nothing.  Repeated items and documents are reported each.  Item columns other than
-item_id and text are not read.
+Defined results: items without words match nothing, and neither do null and empty texts.
+Repeated items and documents are reported each.  Ties between tiles go to the first
+position in the item, then in the document.  `clean` goes by items of at least `seed`
+words, as a few common words are no leak.  Columns other than item_id, doc_id and text are
+not read by `leaks`, and pass through `clean`.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from .text import plain, slices, words
 SEED = 5
 COVERAGE = 0.8
 BLOCK_WORDS = 1_000_000
+#: Common windows of a pair up to this number are listed at once.
+MOST_WINDOWS = 1 << 20
 _B = np.uint64(0xD1342543DE82EF95)
 
 
@@ -44,7 +52,15 @@ def karp_rabin(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+def _same(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether n words from i on and from j on are the same."""
+    ok = np.ones(len(i), bool)
+    for k in range(n):
+        ok &= item[i + k] == doc[j + k]
+    return ok
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, seed: int, most: int = MOST_WINDOWS) -> list[tuple[int, int, int]]:
     """Greedy tiles (item position, document position, length), longest first; ties by positions.
 
     Matches are taken from common windows, run out as far as the words agree, and kept in
@@ -54,8 +70,12 @@ def tiles(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int,
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     count = hi - lo
+    if count.sum() > most:
+        return tiles_by_length(item, doc, seed)
     i = np.repeat(np.arange(len(a)), count)
     j = order[np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())] if count.sum() else np.zeros(0, np.int64)
+    ok = _same(item, doc, i, j, seed)
+    i, j = i[ok], j[ok]
     # windows next to each other on one diagonal are one match
     order = np.lexsort((i, j - i))
     i, j = i[order], j[order]
@@ -83,34 +103,109 @@ def tiles(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int,
     return out
 
 
+class Windows:
+    """Hashes of all windows of a text, of any one length, off a running sum."""
+
+    def __init__(self, h: np.ndarray, last: int) -> None:
+        power = np.full(last + 1, _B, np.uint64)
+        power[0] = 1
+        self.h, self.last, self.power = h, last, np.multiply.accumulate(power)
+        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self.power[: len(h)])))
+
+    def open(self, n: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of n words without a marked one, brought to one power."""
+        free = np.concatenate(([0], np.cumsum(marked)))
+        at = np.flatnonzero(free[n:] == free[: len(free) - n]) if n <= len(self.h) else np.zeros(0, np.int64)
+        return at, (self.sum[at + n] - self.sum[at]) * self.power[self.last - at]
+
+
+def tiles_by_length(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """The same tiles, found by the greatest length that still matches, then the next: memory is linear, and so are the steps of a length."""
+    a, b = (Windows(x, max(len(item), len(doc))) for x in (item, doc))
+    own, other = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    out: list[tuple[int, int, int]] = []
+
+    def common(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of both sides' windows of n words that the other side has too."""
+        (i, g), (j, h) = a.open(n, own), b.open(n, other)
+        x, y = np.isin(g, h), np.isin(h, g)
+        return i[x], g[x], j[y], h[y]
+
+    top = min(len(item), len(doc))
+    while top >= seed:
+        # a longer match holds shorter ones, so the greatest length is found by halving
+        low, high = seed - 1, top
+        while low < high:
+            mid = (low + high + 1) // 2
+            if len(common(mid)[0]):
+                low = mid
+            else:
+                high = mid - 1
+        if low < seed:
+            break
+        i, g, j, h = common(low)
+        order = np.argsort(h, kind="stable")
+        j, h = j[order], h[order]
+        # each hash's document positions in order; marked ones never come back
+        at, end = (dict(zip(g.tolist(), np.searchsorted(h, g, side).tolist(), strict=True)) for side in ("left", "right"))
+        for x, key in zip(i.tolist(), g.tolist(), strict=True):
+            if own[x : x + low].any():
+                continue
+            k = at[key]
+            while k < end[key] and other[j[k] : j[k] + low].any():
+                k += 1
+            at[key] = k
+            while k < end[key]:
+                y = int(j[k])
+                if not other[y : y + low].any() and (item[x : x + low] == doc[y : y + low]).all():
+                    own[x : x + low] = True
+                    other[y : y + low] = True
+                    out.append((x, y, low))
+                    break
+                k += 1
+        top = low - 1
+    return out
+
+
 class Block:
-    """Items of one pass: their words, and a sorted table from seed windows to items."""
+    """Items of one pass: their words, and a sorted table from windows to items; items shorter than a seed are a window each."""
 
     def __init__(self, rows: list[tuple[int, str]], seed: int) -> None:
         self.seed, self.ids = seed, [r[0] for r in rows]
         h, off = words(pc.utf8_lower(plain(pa.array([r[1] for r in rows], pa.string()))), True)
         self.items = np.split(h, off[1:-1])
-        keys = [np.unique(karp_rabin(x, seed)) for x in self.items]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        order = np.argsort(key, kind="stable")
-        self.key, self.item = key[order], item[order]
+        self.tables = {}
+        for n in sorted({min(len(x), seed) for x in self.items} - {0}):
+            keys = [np.unique(karp_rabin(x, n)) if min(len(x), seed) == n else np.zeros(0, np.uint64) for x in self.items]
+            key, item = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            order = np.argsort(key, kind="stable")
+            self.tables[n] = key[order], item[order]
 
-    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
-        """(row, item, marked words of the item) for every pair that shares a window."""
-        h, off = words(pc.utf8_lower(texts), True)
-        g = karp_rabin(h, self.seed)
-        lo = np.searchsorted(self.key, g)
-        hit = lo < len(self.key)
-        hit[hit] = self.key[lo[hit]] == g[hit]
+    def _pairs(self, h: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
+        """Distinct (row, item) that share a window of n words."""
+        key, item = self.tables[n]
+        g = karp_rabin(h, n)
+        lo = np.searchsorted(key, g)
+        hit = lo < len(key)
+        hit[hit] = key[lo[hit]] == g[hit]
         at = np.flatnonzero(hit)
         row = np.searchsorted(off, at, "right") - 1
-        inside = at + self.seed <= off[row + 1]
-        at, row = at[inside], row[inside]
-        n = np.searchsorted(self.key, g[at], "right") - lo[at]
-        pair = np.unique(np.stack((np.repeat(row, n), self.item[np.repeat(lo[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-        for r, x in pair.T.tolist():
-            yield r, x, sum(t[2] for t in tiles(self.items[x], h[off[r] : off[r + 1]], self.seed))
+        inside = at + n <= off[row + 1]
+        # a window that a text repeats counts once
+        row, lo = np.unique(np.stack((row[inside], lo[at[inside]])), axis=1) if inside.any() else np.zeros((2, 0), np.int64)
+        many = np.searchsorted(key, key[lo], "right") - lo
+        if not len(row):
+            return np.zeros((2, 0), np.int64)
+        return np.unique(np.stack((np.repeat(row, many), item[np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())])), axis=1)
+
+    def matches(self, texts: pa.Array, short: bool = True) -> Iterator[tuple[int, int, int]]:
+        """(row, item, marked words of the item) for every pair that shares a window."""
+        h, off = words(pc.utf8_lower(texts), True)
+        for n in self.tables:
+            if n < self.seed and not short:
+                continue
+            for r, x in self._pairs(h, off, n).T.tolist():
+                yield r, x, sum(t[2] for t in tiles(self.items[x], h[off[r] : off[r + 1]], n))
 
 
 def blocks(benchmark: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -159,7 +254,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for first, part in slices(plain(b.column(at))):
-                    for r, x, n in block.matches(part):
+                    for r, x, n in block.matches(part, short=False):
                         keep[first + r] &= n < coverage * len(block.items[x])
                 yield b.filter(pa.array(keep))
 
