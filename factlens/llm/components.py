@@ -19,19 +19,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges: (a, b), longs in any order; loops and repeated edges are allowed, null ends
     are ignored.
     """
+    # a step that changes nothing is told by the number of edges and a sum of their hashes
+    state = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = scratch.write(e, f"{name}-0")
-    known = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    e, known = scratch.observed(e, f"{name}-0", *state)
     step = 0
-    while known[0]:
+    while known["n"]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.distinct(), f"{name}-large-{step}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.write(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step + 1}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, now = scratch.observed(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step + 1}", *state)
         scratch.drop(f"{name}-large-{step}", f"{name}-{step}")
         step += 1
         if now == known:
