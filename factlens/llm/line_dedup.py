@@ -164,15 +164,15 @@ def dropped_keys(rows: DataFrame, index: DataFrame, shards: int, least: int = LE
                 at = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
                 out["doc_id"] += d[at].tolist()
                 out["gone"] += np.split(a, at[1:]) if len(at) else []
-        return pd.DataFrame(out)
+        return pd.DataFrame({"doc_id": pd.Series(out["doc_id"], dtype="int64"), "gone": pd.Series(out["gone"], dtype=object)})
 
     asked = rows.mapInArrow(probes, "shard long, doc binary, a binary, b binary")
     hits = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(probe, "doc_id long, gone array<long>")
     return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """`docs` with text rejoined from the lines that stay, and columns n_lines, n_dropped."""
+def dedup_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEYS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """`docs` with text rejoined from the lines that stay, and the numbers of all lines and of dropped ones in two columns, which replace any of their names."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -181,10 +181,10 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEY
     index = scratch.write(line_index(rows, shards, least), "index")
     gone = scratch.write(dropped_keys(rows, index, shards, least), "gone")
     scratch.release()
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(*counts)
     text = docs.columns.index("text")
-    joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "gone")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.withColumnsRenamed({"doc_id": "__id", "gone": "__gone"}), "__id", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,7 +199,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEY
                 kept.append("\n".join(lines_))
                 drop.append(n[-1] - len(lines_))
             own[text] = pa.array(kept, b.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(drop, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(drop, pa.int64())], [*b.schema.names[:-1], *counts])
 
     return joined.mapInArrow(apply, schema)
 
