@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from factlens.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, lm_scoring, mixing, ngram_join, token_counts
 from factlens.llm.components import components
 from factlens.llm.scratch import Scratch
@@ -277,7 +276,7 @@ def test_tiles_and_leaks(spark, empty):
     df = spark.createDataFrame(rows, DOCS)
     for block_words in (10, 10_000):
         got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.leaks(df, benchmark, block_words=block_words).collect()}
-        assert got == {(1, 1): 1.0, (2, 1): 1.0, (6, 1): pytest.approx(28 / 30)}
+        assert got == {(1, 1): 1.0, (2, 1): 1.0, (6, 1): pytest.approx(28 / 30), (5, 3): 1.0}
         assert sorted(r["doc_id"] for r in decontaminate.clean(df, benchmark, block_words=block_words).collect()) == [3, 4, 5]
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(df, benchmark.limit(0)).count() == 0
 
@@ -316,6 +315,36 @@ def test_token_rollup(spark, tmp_path):
         roll.commit("b", token_counts.deleted(a.where("source = 't'")).union(token_counts.revised(spark.createDataFrame([("s", "en", "1", 9, 5)], cols))))
     assert {tuple(r) for r in roll.totals().collect()} == {("s", "en", "1", 1, 9), ("s", None, "1", 1, 2), (None, "en", "1", 1, 0)}
     assert roll.batches() == ["a", "b"]
+    want = {tuple(r) for r in roll.totals().collect()}
+    # a batch that was not completed does not count, and its number is not taken again
+    a.write.parquet(f"{tmp_path}/r/b-000000000099-a")
+    (tmp_path / "r/b-000000000099-a/_SUCCESS").unlink()
+    for _ in range(2):
+        roll.compact()
+        assert {tuple(r) for r in roll.totals().collect()} == want and roll.batches() == ["a", "b"]
+    # a batch that was compacted is replaced too
+    roll.commit("b", token_counts.deleted(a.where("source = 't'")))
+    assert {tuple(r) for r in roll.totals().collect()} == {("s", "en", "1", 1, 5), ("s", None, "1", 1, 2), (None, "en", "1", 1, 0)}
+    roll.commit("none", token_counts.inserted(a.limit(0)))
+    assert roll.batches() == ["a", "b", "none"]
+    with pytest.raises(ValueError):
+        roll.commit("a/b", a)
+
+
+def test_rollup_of_a_vocabulary(spark, docs, rows, tmp_path):
+    """The query's totals against the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = Tokenizer.from_file(token_counts.VOCABULARY)
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, t, lang, source, _ in rows:
+        if i % 10 != 3:
+            group = want[source, lang]
+            group[0] += 1
+            group[1] += len(model.encode(t or "", add_special_tokens=False).ids) + (i % 10 == 7)
+    got = {(r["source"], r["lang"]): [r["docs"], r["tokens"]] for r in token_counts.op2(spark, str(tmp_path)).collect() if r["tokenizer_version"] == "byte_bpe_50k"}
+    assert got == want
 
 
 def test_bpe_tokens(spark, tmp_path):
@@ -326,22 +355,3 @@ def test_bpe_tokens(spark, tmp_path):
     model.save(f"{tmp_path}/v.json")
     df = spark.createDataFrame([("a b c",), (None,), ("",)], "text string")
     assert [r["tokens"] for r in token_counts.bpe_tokens(df, f"{tmp_path}/v.json").collect()] == [3, 0, 0]
-
-
-def test_pipeline_stages(spark, docs, rows, tmp_path):
-    benchmark = spark.createDataFrame([(1, " ".join((rows[3][1] or "").split()))], "item_id long, text string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
-    scratch, d = Scratch(spark, "stages"), docs
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "line_dedup", "ngram_join", "decontaminate", "mix"]
-    kept = {}
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        d = scratch.write(stage(spark, d, str(tmp_path)), name)
-        assert k == 4 or d.columns == docs.columns
-        kept[name] = {r["doc_id"] for r in d.collect()}
-    ids = {r[0] for r in rows}
-    blank = {i for i, t, *_ in rows if not any(c.isalpha() for c in t or "")}
-    assert kept["language_id"] == ids - blank and kept["line_dedup"] == kept["language_id"]
-    assert kept["ngram_join"] <= kept["line_dedup"] and 3 not in kept["decontaminate"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["mix"])
