@@ -60,14 +60,14 @@ def members(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, on, "full").select("owner", "key", "nth", change.alias("change")).where("change IS NOT NULL")
 
 
-def columns_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(table, column, change) of catalogue rows (schema, table, column, type, nullable).
+def columns_diff(before: DataFrame, after: DataFrame, metadata: tuple[str, ...] = ("type", "nullable")) -> DataFrame:
+    """(table, column, change) of catalogue rows (schema, table, column, type, nullable), compared by the named metadata.
 
     With one schema on each side the two are aligned whatever their names; else schemas pair by name.
     """
     single = all(d.select("schema").distinct().limit(2).count() == 1 for d in (before, after))
     space = F.lit("") if single else F.col("schema")
-    keyed = lambda d, x, y: d.select(space.alias("space"), "table", "column", F.struct("type", "nullable").alias(x), F.lit(1).alias(y))
+    keyed = lambda d, x, y: d.select(space.alias("space"), "table", "column", F.struct(F.lit(0).alias("there"), *metadata).alias(x), F.lit(1).alias(y))
     j = keyed(before, "t0", "a").join(keyed(after, "t1", "b"), ["space", "table", "column"], "full")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("t0").eqNullSafe(F.col("t1")), "changed")
     return j.select("table", "column", change.alias("change")).where("change IS NOT NULL")
@@ -94,6 +94,27 @@ def line_changes(texts: DataFrame) -> DataFrame:
     return _per_row(texts, work, "key string, added long, removed long")
 
 
+def changed_lines(texts: DataFrame) -> DataFrame:
+    """(key, op, line) of the smallest script of rows (key, old, new): a removed line by its old number, an added one by its new."""
+
+    def work(key, old, new):
+        return [(key, op, (j if op == "+" else i) + 1) for op, i, j in sequence.script(sequence.lines(old), sequence.lines(new))]
+
+    return _per_row(texts, work, "key string, op string, line int")
+
+
+def attributed(lines: DataFrame, old_extents: DataFrame, new_extents: DataFrame) -> DataFrame:
+    """(key, id, added, removed): changed lines given to the shortest extent (key, id, first, last) around them on their side; lines in none have a null id."""
+    sides = []
+    for op, extents in (("-", old_extents), ("+", new_extents)):
+        own = lines.where(F.col("op") == op)
+        hit = own.join(extents, "key").where(F.col("line").between(F.col("first"), F.col("last")))
+        near = hit.groupBy("key", "op", "line").agg(F.min_by("id", F.struct((F.col("last") - F.col("first")).alias("size"), "id")).alias("id"))
+        sides.append(own.join(near, ["key", "op", "line"], "left").select("key", "id", "op"))
+    n = lambda op: F.count(F.when(F.col("op") == op, 1))
+    return sides[0].union(sides[1]).groupBy("key", "id").agg(n("+").alias("added"), n("-").alias("removed"))
+
+
 def token_changes(texts: DataFrame) -> DataFrame:
     """(key, n, op, token): the steps between the words and signs of rows (key, old, new)."""
 

@@ -44,6 +44,13 @@ def renamed(before: DataFrame, after: DataFrame) -> DataFrame:
     return pair.join(name(gone, "old", "n0"), "old").join(name(came, "new", "n1"), "new").where("n0 != n1").select("old", "new")
 
 
+def renamed_children(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(old, new) of the members of renamed owners (old, new): rows (key, owner, kind, name) that have one kind and name on both sides, each once."""
+    a = before.join(pairs.select(F.col("old").alias("owner"), F.col("new").alias("to")), "owner")
+    b = after.join(pairs.select(F.col("new").alias("owner")), "owner", "left_semi").withColumn("to", F.col("owner"))
+    return unique_matches(a, b, "to", "kind", "name")
+
+
 def tree_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """(old, new, by) of tree nodes (key, uuid, symbol, hash): passes by uuid, symbol and hash, unique keys only, each over what is left.
 

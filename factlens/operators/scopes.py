@@ -71,12 +71,18 @@ def active(symbols: DataFrame, occurrences: DataFrame, implements: DataFrame) ->
     return symbols.join(seen, "id", "left_semi")
 
 
-def preferred(rows: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Rows (symbol_id, snapshot, ...) with `declared_at`: their own snapshot if it declares the symbol, else the first that does, else null."""
+def preferred(rows: DataFrame, declarations: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows (symbol_id, snapshot, ...) with `declared_at`: their own snapshot if it declares the symbol, else the first that does, else null.
+
+    With `strict` several others are an error, as none of them is the row's.
+    """
     d = declarations.select("symbol_id", F.col("snapshot").alias("there")).distinct()
-    first = d.groupBy("symbol_id").agg(F.min("there").alias("first"))
+    first = d.groupBy("symbol_id").agg(F.min("there").alias("first"), F.count("*").alias("several"))
+    if strict:
+        ambiguous = F.raise_error(F.concat(F.lit("several snapshots declare "), F.col("symbol_id"))).cast("long")
+        first = first.withColumn("first", F.when(F.col("several") == 1, F.col("first")))
     own = d.select("symbol_id", F.col("there").alias("snapshot"), F.col("there").alias("own"))
-    return rows.join(own, ["symbol_id", "snapshot"], "left").join(first, "symbol_id", "left").select(*rows.columns, F.coalesce("own", "first").alias("declared_at"))
+    return rows.join(own, ["symbol_id", "snapshot"], "left").join(first, "symbol_id", "left").select(*rows.columns, F.coalesce("own", "first", *([F.when(F.col("several") > 1, ambiguous)] if strict else [])).alias("declared_at"))
 
 
 def dependencies(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -375,3 +375,31 @@ def _settled(now: DataFrame, step: Callable[[DataFrame], DataFrame], cut: Callab
         if not after.where("rose").limit(1).count():
             return after.select("id", "c")
         now = after.select("id", "c")
+
+
+def walk_source(source: Callable[[DataFrame], DataFrame], roots: DataFrame, depth: int = MOST_DEPTH, most: int = MOST_SYMBOLS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, steps) of a walk over what a function gives: for a frame of ids, steps (source, target, ...) that leave them.
+
+    So a graph can come from any resolver; each level is asked once.
+    """
+    cut = Rounds(roots.sparkSession).cut
+    seen = level = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    steps: DataFrame | None = None
+    for k in range(1, depth + 1):
+        found = cut(source(level.select("id")))
+        steps = found if steps is None else steps.union(found)
+        level = cut(found.where("target IS NOT NULL").select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(k)))
+        if not level.limit(1).count():
+            break
+        seen = seen.union(level)
+        if seen.limit(most + 1).count() > most:
+            raise ValueError(f"the walk reaches more than {most} symbols")
+    return seen, steps
+
+
+def themed(nodes: DataFrame, theme: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes with the columns that a theme, a function of the nodes, gives each id; ids that it has nothing for keep nulls."""
+    style = theme(nodes)
+    if len(set(style.columns) & set(nodes.columns)) != 1 or "id" not in style.columns:
+        raise ValueError("a theme gives an id and columns that the nodes lack")
+    return nodes.join(style.dropDuplicates(["id"]), "id", "left")

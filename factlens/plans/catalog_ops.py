@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.operators import analysis, compare, diff, history, lineage, nav, scopes, traverse
-from factlens.sources import testruns
-from factlens.sources.facts import TABLES, Facts
+from factlens.operators import analysis, bodies, compare, diff, history, lineage, nav, scopes, traverse
+from factlens.plans import sqlnav
+from factlens.sources import database, publication, shared, testruns
+from factlens.sources.facts import SCHEMAS, TABLES, Facts, read_parquet, write_parquet
 
 from .catalog import ORACLE, QUERIES, ids, query, text_query
 
@@ -253,3 +254,119 @@ query("SELECT split_part(package, '/', 1) AS root, count(DISTINCT symbol_id) AS
 query("SELECT DISTINCT CASE WHEN s.module <> split_part(o.package, '/', 1) THEN split_part(o.package, '/', 1) END AS root, s.module AS needs FROM occurrences o JOIN symbols s ON s.id = symbol_id WHERE s.module <> split_part(o.package, '/', 1)", "version_dependencies")(lambda f: scopes.dependencies(f.occurrences, f.symbols))
 query("SELECT symbol_id AS id, enclosing_id, path, line FROM occurrences WHERE role = 'call' AND symbol_id LIKE 'p:%' AND path LIKE '%/1995-01'", "file_graph")(lambda f: nav.file_graph(f, F.col("path").endswith("/1995-01")).where("resolved AND id LIKE 'p:%'").select("id", "enclosing_id", "path", "line"))
 query("SELECT 'coarse' AS kind, count(*) AS n FROM supplied", "custom_relationships")(lambda f: nav.coarse(nav.native(f), {"tpch.supplied_by": "reference"}).select(F.lit("coarse").alias("kind"), F.explode("targets")).groupBy("kind").agg(F.count("*").alias("n")))
+
+
+def _procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A procedure for each part: a branch with an ELSE in one usual form, and a loop in the other."""
+    p = spark.read.schema(TABLES["part"]).parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"))
+    text = F.concat(F.lit("IF @x > 1 BEGIN UPDATE a_"), F.col("path"), F.lit(" SET k = 1 END ELSE DELETE FROM b; WHILE n < 3 LOOP IF m = 2 THEN INSERT INTO c SELECT * FROM d; ELSIF m = 3 THEN PERFORM f(); END IF; END LOOP; SELECT * FROM e"))
+    return p.select("path", text.alias("content"))
+
+
+QUERIES["sql_guards"] = lambda spark, sf_dir: lineage.guarded_lineage(_procedures(spark, sf_dir)).select("path", F.array_join("guards", " & ").alias("guards"), "access", "name")
+ORACLE["sql_guards"] = "SELECT CAST(p_partkey AS VARCHAR) AS path, g AS guards, a AS access, replace(n, '?', CAST(p_partkey AS VARCHAR)) AS name FROM part, (VALUES ('@x > 1', 'write', 'a_?'), ('NOT (@x > 1)', 'write', 'b'), ('n < 3 & m = 2', 'write', 'c'), ('n < 3 & m = 2', 'read', 'd'), ('n < 3 & NOT (m = 2) & m = 3', 'call', 'f'), ('', 'read', 'e')) AS t(g, a, n)"
+
+
+def _statements(f: Facts) -> DataFrame:
+    """Lines of an order as statements of its body: each even one stands within the one before it, which is a condition."""
+    o = f.occurrences.where("enclosing_id LIKE 'o:1%' AND path NOT LIKE '%/faces'")
+    odd = F.col("line") % 2 == 1
+    return o.select(F.col("enclosing_id").alias("body"), F.col("line").alias("id"), F.when(~odd, F.col("line") - 1).alias("parent"), F.when(odd, "if").otherwise(F.when(F.col("role") == "write", "assign").otherwise(F.col("role"))).alias("kind"), F.col("symbol_id").alias("target"), F.concat(F.lit("on "), F.col("line").cast("string")).alias("text"), "line")
+
+
+_LINES = ", s AS (SELECT * FROM occurrences WHERE enclosing_id LIKE 'o:1%' AND path NOT LIKE '%/faces')"
+query(f"{_LINES} SELECT enclosing_id AS source, symbol_id AS target, CASE role WHEN 'write' THEN 'write' ELSE role END AS type, count(*) AS n, min(line) AS line FROM s WHERE line % 2 = 0 AND symbol_id IS NOT NULL GROUP BY 1, 2, 3", "body_relationships")(lambda f: bodies.relationships(_statements(f)))
+query(f"{_LINES} SELECT DISTINCT enclosing_id AS body, line AS id, CASE WHEN line % 2 = 0 AND (enclosing_id, line - 1) IN (SELECT (enclosing_id, line) FROM s) THEN 'on ' || (line - 1) ELSE '' END AS guards FROM s", "body_guards")(lambda f: bodies.guards(_statements(f).dropDuplicates(["body", "id"])).withColumn("guards", F.array_join("guards", "; ")))
+
+
+def _faulty(f: Facts) -> Facts:
+    """Records, every seventh one of an unknown kind, every eleventh without a name, and a third of the occurrences with another role."""
+    n = _number()
+    s = f.symbols.where("kind = 'record'")
+    s = s.withColumn("kind", F.when(n % 7 == 0, "mystery").otherwise(F.col("kind"))).withColumn("name", F.when(n % 11 != 0, F.col("name")))
+    return f.replaced(symbols=s, occurrences=f.occurrences.where("line = 3 AND path NOT LIKE '%/faces'").withColumn("role", F.when(F.col("role") == "write", "scribble").otherwise(F.col("role"))))
+
+
+query(f", s AS (SELECT id, {_N} AS n FROM symbols WHERE kind = 'record') SELECT 'symbols' AS frame, id AS key, 'unknown kind' AS problem FROM s WHERE n % 7 = 0 UNION ALL SELECT 'symbols', id, 'a part of its identity is missing' FROM s WHERE n % 11 = 0 UNION ALL SELECT 'occurrences', path || ':3', 'unknown role' FROM occurrences WHERE line = 3 AND role = 'write'", "publication_problems")(lambda f: publication.problems(_faulty(f)))
+query("SELECT CASE WHEN package = 'ASIA/NATION_2' THEN id || '+' ELSE id END AS id FROM symbols WHERE kind = 'record'", "publication_delta")(lambda f: _replaced(f))
+
+
+def _replaced(f: Facts) -> DataFrame:
+    records = f.symbols.where("kind = 'record'")
+    new = records.where("package = 'ASIA/NATION_2'").withColumn("id", F.concat("id", F.lit("+")))
+    delta = f.replaced(symbols=new, occurrences=f.occurrences.limit(0), files=f.files.limit(0), **{n: getattr(f, n).limit(0) for n in ("relationships", "embeds", "implements", "extents", "metrics", "measures", "effects", "edges")})
+    return ids(publication.with_delta(f.replaced(symbols=records), delta, ["ASIA/NATION_2"]).symbols)
+
+
+query("SELECT DISTINCT id FROM (SELECT id FROM red UNION ALL SELECT target_id FROM supplied WHERE source_id IN (SELECT id FROM red))", "walk_resolver")(
+    lambda f: ids(traverse.walk_source(lambda at: nav.outgoing(f, at).select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), ids(f.symbols.where("kind = 'func' AND name LIKE 'red %'")), 3)[0])
+)
+query("SELECT id, CASE kind WHEN 'record' THEN 'box' WHEN 'method' THEN 'circle' END AS shape FROM symbols WHERE module = 'ASIA'", "themed_nodes")(
+    lambda f: (lambda n: traverse.themed(n, lambda d: d.join(f.symbols.select("id", "kind"), "id").where("kind IN ('record', 'method')").select("id", F.when(F.col("kind") == "record", "box").otherwise("circle").alias("shape"))))(ids(f.symbols.where("module = 'ASIA'")))
+)
+
+
+# --- more of versions, texts and sources ----------------------------------------------------------
+def _attributed(t: DataFrame) -> DataFrame:
+    """Lines of each document's versions given to its first line or the rest of it."""
+    last = lambda side: F.greatest(F.lit(2), F.size(F.split(side, "\n"))).alias("last")
+    extents = lambda side: t.select("key", F.lit("rest").alias("id"), F.lit(1).alias("first"), last(side)).union(t.select("key", F.lit("head"), F.lit(1), F.lit(1)))
+    got = compare.attributed(compare.changed_lines(t.select("key", "old", "new")), extents("old"), extents("new"))
+    return got.where("id = 'head'").select("key", "added")
+
+
+text_query("line_attribution", _attributed, "SELECT key, added FROM l")
+query(f"SELECT id AS old, id || '+' AS new FROM symbols WHERE kind = 'method' AND id LIKE 'o:%' AND {_N} % 2 = 0 AND CAST(substr(owner_id, 3) AS BIGINT) % 3 = 0", "renamed_members")(lambda f: _members_of_renamed(f))
+
+
+def _members_of_renamed(f: Facts) -> DataFrame:
+    """Every third record is renamed; half of its methods stay."""
+    m = f.symbols.where("kind = 'method' AND id LIKE 'o:%'").select(F.col("id").alias("key"), F.col("owner_id").alias("owner"), "kind", "name")
+    pairs = ids(f.symbols.where("kind = 'record'")).where(_number() % 3 == 0).select(F.col("id").alias("old"), F.concat("id", F.lit("+")).alias("new"))
+    after = m.where(_number("key") % 2 == 0).select(F.concat("key", F.lit("+")).alias("key"), F.concat("owner", F.lit("+")).alias("owner"), "kind", "name")
+    return diff.renamed_children(pairs, m, after)
+
+
+query("SELECT kind, count(*) AS n FROM symbols GROUP BY kind", "facts_round_trip")(lambda f: _stored(f))
+
+
+def _stored(f: Facts) -> DataFrame:
+    """Symbols written with all other facts, and read back by the version of their schemas."""
+    at = shared.folder(f.spark, "round-trip")
+    write_parquet(f.replaced(**{n: getattr(f, n).limit(0) for n in SCHEMAS if n != "symbols"}), at)
+    return read_parquet(f.spark, at).symbols.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+query("SELECT run_id, outcome, count(*) AS n FROM results WHERE run_id <= 5 GROUP BY 1, 2", "testrun_import")(lambda f: _imported(f))
+
+
+def _imported(f: Facts) -> DataFrame:
+    """Five runs as a producer writes them, one JSON line each, and their attempts as they are read."""
+    tries = F.struct("attempt", "outcome", F.lit(1).cast("long").alias("duration_ms"), F.when(F.col("outcome") == "fail", "boom").alias("failure"))
+    case = f.results.where("run_id <= 5").groupBy("run_id", "test_id").agg(F.collect_list(tries).alias("attempts"))
+    case = case.select("run_id", F.struct(F.col("test_id").alias("id"), F.lit("p").alias("package"), F.col("test_id").alias("name"), "attempts").alias("case"))
+    runs = case.groupBy("run_id").agg(F.collect_list("case").alias("cases")).withColumn("environment", F.create_map(F.lit("os"), F.lit("linux")))
+    at = shared.folder(f.spark, "test-runs")
+    runs.write.mode("overwrite").json(at)
+    return testruns.read(f.spark, at).attempts.groupBy("run_id", "outcome").agg(F.count("*").alias("n"))
+
+
+def _custom(f: Facts) -> Facts:
+    """Interfaces as a kind of a producer's own."""
+    kinds = f.kinds.union(f.spark.createDataFrame([("acme.screen", "data")], "name string, category string"))
+    return f.replaced(kinds=kinds, symbols=f.symbols.withColumn("kind", F.when(F.col("kind") == "interface", "acme.screen").otherwise(F.col("kind"))))
+
+
+query("SELECT id FROM symbols WHERE kind = 'interface' AND name LIKE '%1'", "custom_kind")(lambda f: sqlnav.run(_custom(f), "SELECT symbol.id AS id FROM 'kind:acme.screen:*1'", None))
+query("SELECT DISTINCT symbol_id, CAST(1 AS INT) AS declared_at FROM occurrences WHERE role = 'write' AND symbol_id IS NOT NULL", "declaration_choice")(
+    lambda f: scopes.preferred(f.occurrences.where("role = 'write' AND symbol_id IS NOT NULL").select("symbol_id", F.col("line").alias("snapshot")).distinct(), ids(_parts(f)).select(F.col("id").alias("symbol_id"), F.lit(1).alias("snapshot")), strict=True).select("symbol_id", "declared_at").distinct()
+)
+QUERIES["schema_diff_types"] = lambda spark, sf_dir: _types_only(spark, sf_dir)
+ORACLE["schema_diff_types"] = "SELECT 'supplier' AS \"table\", 's_name' AS \"column\", 'changed' AS change"
+
+
+def _types_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogues that differ in one type, and in what may be null, which is not asked."""
+    c = database.from_folder(spark, sf_dir, ["part", "supplier"])
+    after = c.withColumn("type", F.when(F.col("column") == "s_name", "text").otherwise(F.col("type"))).withColumn("nullable", ~F.col("nullable"))
+    return compare.columns_diff(c, after, ("type",))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factlens.functions.build_tags import requires
 from factlens.functions.glob import glob, iglob
 from factlens.operators import analysis, history, nav, traverse
-from factlens.operators.select import named, select
+from factlens.operators.select import CONTAINERS, EXACT, kinds_of, named, parts_of, select
 from factlens.sources.facts import Facts
 
 MOST_BYTES, MOST_NESTING, MOST_ROWS, ROWS = 65_536, 64, 1000, 100
@@ -291,6 +291,21 @@ def _graph(facts: Facts, s: Source) -> DataFrame:
     return traverse.graph(edges, roots, _number(s, "depth", 2, traverse.MOST_DEPTH), _number(s, "nodes", 150, MOST_NODES), direction)[0].withColumnRenamed("id", "proj")
 
 
+def _applicable(facts: Facts, s: Source, ids: DataFrame) -> DataFrame:
+    """The ids that a relation applies to; a selector of kinds that it never applies to is an error."""
+    takes = nav.APPLIES.get(s.name, ("callable", "type", "data"))
+    arg = s.args[0]
+    head = parts_of(arg.selector)[0] if arg.name == "select" and ":" in arg.selector else ""
+    kinds = set(kinds_of(facts, head)) if head in EXACT or head in facts.categories() else set()
+    fit = set(facts.kinds_in(*takes))
+    if (kinds and not kinds & fit) or head in CONTAINERS:
+        raise QueryError(f"{s.name} does not apply to {head}")
+    if kinds and kinds <= fit:
+        return ids
+    other = facts.symbols.where(~F.col("kind").isin(sorted(fit))).select("id")
+    return ids.join(other, "id", "left_anti")
+
+
 def witnesses(facts: Facts, s: Source) -> tuple[DataFrame, str]:
     """Rows of a source and the column with the projected symbol."""
     if s.name == "select":
@@ -317,6 +332,7 @@ def witnesses(facts: Facts, s: Source) -> tuple[DataFrame, str]:
             raise QueryError("a path has one symbol at each end")
         return traverse.shortest_path(_edges(facts, s), ids, end, _number(s, "depth", 8, traverse.MOST_DEPTH)).withColumnRenamed("id", "proj").withColumnRenamed("hop", "depth"), "proj"
     depth = _number(s, "depth", 1, traverse.MOST_DEPTH)
+    ids = _applicable(facts, s, ids)
     rows = nav.RELATIONS[s.name](facts, ids)
     if depth == 1:
         return rows, "proj"
@@ -499,7 +515,8 @@ class Plan:
             raise QueryError("compare with IS NULL")
         self._typed(p[1], value)
         if isinstance(value, (int, float)) and not isinstance(value, bool):
-            c = c.cast("double")
+            # a property that is no number is unlike any
+            c = c.try_cast("double")
         v = F.lit(value)
         return {"=": c == v, "!=": c != v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[op]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -22,8 +23,10 @@ def folder(spark: SparkSession, name: str) -> str:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def delete() -> None:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
+        # the session may have ended before, and its JVM with it
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                remove(spark, path)
 
     atexit.register(delete)
     return path

@@ -158,3 +158,10 @@ def test_stream(spark, tmp_path):
         if not k:
             assert maintain.state(spark, out).count() == 2
     assert got(maintain.state(spark, out), "key", "fp") == [("b", 2)]
+    for _ in range(2):
+        maintain.compact(spark, out)
+        assert got(maintain.state(spark, out), "key", "fp") == [("b", 2)]
+    spark.createDataFrame([(3, "a", "set", 7), (1, "b", "delete", None)], maintain.SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    maintain.maintain(spark.readStream.schema(maintain.SCHEMA).parquet(src), out, f"{tmp_path}/c", compact_every=2).awaitTermination()
+    assert got(maintain.state(spark, out), "key", "fp") == [("a", 7), ("b", 2)]
+    assert maintain.state(spark, f"{tmp_path}/nothing").count() == 0
