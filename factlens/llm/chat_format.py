@@ -120,10 +120,9 @@ def _found(parsed: Column, depth: int) -> Column:
     return F.concat(*out)
 
 
-def argument_errors(arguments: Column, fields: Column, depth: int = 1) -> Column:
-    """Errors of a JSON text against fields (array of field, type, required, values) down to that depth; null fields mean no schema."""
+def argument_errors(arguments: Column, given: Column, fields: Column) -> Column:
+    """Errors of a JSON text, with the values found in it, against fields (array of field, type, required, values); null fields mean no schema."""
     parsed = F.try_parse_json(arguments)
-    given = _found(parsed, depth)
     at = lambda path: F.filter(given, lambda e: e["path"] == path)
     fits = lambda e, f: (e["kind"] == f["type"]) | ((f["type"] == "number") & (e["kind"] == "integer"))
 
@@ -160,7 +159,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, others: DataF
     n, depth = schemas.agg(F.count("*"), F.max(parts)).first()
     fields = schemas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("field", "type", "required", "values"))).alias("fields"))
     linked = calls.select("conv_id", "turn", "call_id", "name", "arguments").join(answer.hint("shuffle_hash"), KEY, "left").join(level.hint("shuffle_hash"), KEY, "left").join(F.broadcast(fields) if n <= FEW_FIELDS else fields, "name", "left")
-    linked = linked.select("conv_id", "turn", "call_id", "name", "arguments", "level", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.col("first.content").alias("result"), argument_errors(F.col("arguments"), F.col("fields"), depth or 1).alias("errors"))
+    # the values are found once and then asked by every check
+    linked = linked.withColumn("given", F.when(F.col("fields").isNotNull(), _found(F.try_parse_json("arguments"), depth or 1)))
+    linked = linked.select("conv_id", "turn", "call_id", "name", "arguments", "level", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.col("first.content").alias("result"), argument_errors(F.col("arguments"), F.col("given"), F.col("fields")).alias("errors"))
     named = calls.where("call_id IS NOT NULL").select(*KEY).distinct()
     alone = results.join(named, KEY, "left_anti").select("conv_id", "turn", "call_id", null("string").alias("name"), null("string").alias("arguments"), null("long").alias("level"), F.lit(1).cast("long").alias("n_results"), F.col("content").alias("result"), F.array(F.lit("call")).alias("errors"))
     rows = linked.union(alone)
