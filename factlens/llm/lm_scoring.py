@@ -12,7 +12,9 @@ shard once for its distinct n-grams and brings its own training counts with the
 the shard adds up all batches' counts and answers each of them in its order.  So counts
 cover the whole corpus, no table of n-grams is sent to all tasks or the driver, and an
 n-gram that occurs everywhere costs one entry a batch.  Questions are sorted 64-bit
-identities, packed as differences.
+identities, packed as differences.  A batch writes to a shard only if it has n-grams of
+it, so there are never more messages than distinct n-grams of batches, a number in
+proportion to the corpus; as it grows, messages get shorter, and no shard or batch larger.
 
 Defined results: a null or empty text is one end; with no training rows N = V = 0 and
 every score is 0.  A row with a null id is in the fold of the empty text.  Repeated rows
@@ -32,7 +34,7 @@ from .scratch import Scratch
 from .text import mix, plain, segment_sum, slices, words
 
 BATCH_BYTES = 16 << 20
-SHARD_KEYS = 3_000_000
+SHARD_KEYS = 1_500_000
 #: Batches whose number is 0 modulo this are the deleted part.
 DELETE = 10
 BUCKETS = 24
@@ -42,13 +44,14 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers, byte planes apart, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    """Integers, byte planes apart, compressed; a few are left as they are."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return b"\0" + planes if len(planes) < 128 else b"\1" + zstandard.compress(planes, 1)
 
 
 def unpack(b: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
+    raw = np.frombuffer(zstandard.decompress(b[1:]) if b[0] else b[1:], np.uint8)
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
