@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from factlens.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
 from factlens.llm.scratch import Scratch
 
-#: Texts less like every profile than this are of no known language.
-LEAST_LIKE = 0.02
+#: Texts less like every profile than this are of no known language.  Of 1,960 labelled rows held out
+#: at sf0.1 the least score was 0.42; random Latin letters had 0.18, base64 0.19, hex 0.12.
+LEAST_LIKE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

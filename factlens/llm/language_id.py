@@ -82,18 +82,19 @@ class Profiles:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, fit_rows: int = FIT_ROWS) -> Profiles:
-    """Profiles from about `fit_rows` rows of each language with a label.
+    """Profiles from about `fit_rows` texts of each language with a label, `fit_rows` at most if all differ and fewer if they repeat.
 
-    The choice of rows, a bounded sample as a classifier may take, is by hash and so the
-    same in every run; n-gram counts are summed over the cluster.  What comes to the
+    The choice of texts, a bounded sample as a classifier may take, is by their hash and so
+    the same in every run; a repeated text counts once; n-gram counts are summed over the cluster.  What comes to the
     driver is `top` rows a language.
     """
-    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 30)).alias("draw"))
-    size = rows.groupBy("lang").count().collect()
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 60)).alias("draw"))
+    size = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
     if not size:
         return Profiles({}, top)
-    share = F.create_map(*(F.lit(x) for r in size for x in (r["lang"], int(min(1.0, fit_rows / r["count"]) * (1 << 30)))))
-    rows = rows.where(F.col("draw") < share[F.col("lang")])
+    # the draw goes by the text alone; the least one is always in, so that no language is without a row
+    share = F.create_map(*(F.lit(x) for r in size for x in (r["lang"], max(r["least"] + 1, int(min(1.0, fit_rows / r["n"]) * (1 << 60))))))
+    rows = rows.where(F.col("draw") < share[F.col("lang")]).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
@@ -142,7 +143,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), profiles).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.02) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """Rows whose text has letters and stands near some profile; the columns are kept."""
     profiles = fit(docs)
     names = ("__lang_pred", "__lang_score")
