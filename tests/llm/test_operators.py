@@ -331,6 +331,21 @@ def test_token_rollup(spark, tmp_path):
         roll.commit("a/b", a)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_have_the_tokens_of_whole_texts(spark, name):
+    """Words, signs and white space of all sorts in a row, cut and counted apart, against the tokenizer over whole texts."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    parts = ["word", "it's", "we'LL", "  ", " ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003 ", "\x1c", "é", "ß.", "12", "3.5", "...", "(", "漢字", "😀", "<|endoftext|>", "_x_", "-", "\u200b", "A"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(600)] + [None, "", " ", "a "]
+    model = Tokenizer.from_file(f"/opt/tokenizers/{name}")
+    model.encode_special_tokens = True
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {x["i"]: x["tokens"] for x in token_counts.bpe_tokens(df, f"/opt/tokenizers/{name}").collect()}
+    assert got == {i: len(model.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_rollup_of_a_vocabulary(spark, docs, rows, tmp_path):
     """The query's totals against the tokenizer itself."""
     from tokenizers import Tokenizer
