@@ -63,7 +63,8 @@ def tree_match(a: DataFrame, b: DataFrame) -> DataFrame:
     for c in ("uuid", "symbol", "hash"):
         on = [F.when(F.col("side") == k, F.col("key")) for k in (0, 1)]
         both = left.where(F.col(c).isNotNull()).groupBy(c).agg(*(F.count(x).alias(f"n{k}") for k, x in enumerate(on)), F.min(on[0]).alias("old"), F.min(on[1]).alias("new"))
-        out.append(cut(both.where("n0 = 1 AND n1 = 1").select("old", "new", F.lit(c).alias("by"))))
+        found = both.where("n0 = 1 AND n1 = 1").select("old", "new", F.lit(c).alias("by"))
+        out.append(found if c == "hash" else cut(found))
         used = out[-1].select(F.col("old").alias("key"), F.lit(0).alias("side")).union(out[-1].select("new", F.lit(1)))
         left = left.join(used, ["key", "side"], "left_anti").select(*cols, "side")
     return out[0].union(out[1]).union(out[2])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from factlens.functions.glob import glob, search_name
 from factlens.sources.facts import Facts
 
+from . import scopes
+
 #: Selector names and the kinds that they stand for; type and api stand for categories.
 EXACT = {"method": ("method",), "field": ("field", "column"), "var": ("var", "const"), "struct": ("type", "struct"), "type": None, "func": ("func",), "api": None}
 CONTAINERS = ("module", "package")
@@ -101,11 +103,20 @@ def select(facts: Facts, text: str, own: bool = False) -> DataFrame:
     With `own` they are declared in the root of their own module: some occurrence or file
     of that root defines them.
     """
-    out = _selected(facts, text)
-    if not own:
-        return out
-    at = facts.declared_in.select(F.split("path", "/")[0].alias("module"), F.col("symbol_id").alias("id")).distinct()
-    return out.join(at, ["id", "module"], "left_semi").select(*out.columns)
+    return _selected(own_facts(facts) if own else facts, text)
+
+
+def own_facts(facts: Facts) -> Facts:
+    """The facts with those symbols alone that some file in the root of their own module declares."""
+    defined = facts.declared_in.select(F.split("path", "/")[0].alias("root"), "symbol_id")
+    return facts.replaced(symbols=scopes.own_root(facts.symbols, defined))
+
+
+def active_facts(facts: Facts) -> Facts:
+    """The facts with those symbols alone that are declared, referred to or implemented in them."""
+    declared = facts.declared_in.select("symbol_id")
+    seen = facts.occurrences.select("symbol_id").union(declared)
+    return facts.replaced(symbols=scopes.active(facts.symbols, seen, facts.implements))
 
 
 def _selected(facts: Facts, text: str) -> DataFrame:
@@ -169,9 +180,9 @@ def resolve(facts: Facts, name: str) -> DataFrame:
     return s.withColumn("rank", F.when(F.col("query_name") == re.sub(r"\\(.)", r"\1", name), 0).otherwise(1)).orderBy("rank", "query_name", "id")
 
 
-def resolved(facts: Facts, name: str) -> DataFrame:
-    """The same, where several symbols of that full name, or none of any, are errors."""
-    found = resolve(facts, name)
+def resolved(facts: Facts, name: str, active: bool = False) -> DataFrame:
+    """The same, where several symbols of that full name, or none of any, are errors; with `active` what nothing in the facts touches is left out."""
+    found = resolve(active_facts(facts) if active else facts, name)
     first = [(r["rank"], r["id"]) for r in found.select("rank", "id").limit(20).collect()]
     if not first:
         raise ValueError(f"no symbol answers {name!r}")

@@ -86,3 +86,7 @@ path_query("callers_within", "func:\"red ring\" <<2", ", u AS (SELECT DISTINCT s
 query("SELECT enclosing_id AS proj, path, line FROM occurrences WHERE role = 'call' AND symbol_id IN (SELECT id FROM symbols WHERE kind = 'func' AND name LIKE 'red%') ORDER BY path, line, column_, enclosing_id LIMIT 50", "compact_listing")(lambda f: pathlang.listing(f, "func:red* <", 50).select("proj", "path", "line"))
 query("SELECT id FROM symbols WHERE kind IN ('func', 'record') AND package NOT LIKE 'ASIA/%' AND package LIKE '%E%'", "structured_flags")(lambda f: pathlang.run(f, pathlang.structured(["func:*", "record:*"], ["**/*E*/**", "**/*E*"], ["ASIA/**"])))
 query("SELECT path, split_part(package, '/', 1) AS root FROM files WHERE split_part(package, '/', 1) <> 'web'", "head_files")(lambda f: analysis.head_files(f.files, f.files.select(F.split("path", "/")[0].alias("root")).where("root != 'web'")).select("path", "root"))
+query("SELECT id FROM symbols WHERE kind = 'func' AND name LIKE 'red%' AND (id IN (SELECT symbol_id FROM occurrences WHERE symbol_id IS NOT NULL) OR CAST(substr(id, 3) AS BIGINT) IN (SELECT doc_id FROM documents))", "active_selection")(lambda f: ids(select.select(select.active_facts(f), "func:red*")))
+query("SELECT id FROM symbols WHERE kind = 'record' AND module = 'ASIA' AND CAST(substr(id, 3) AS BIGINT) IN (SELECT doc_id FROM documents)", "own_selection")(
+    lambda f: sqlnav.run(f.replaced(declared_in=f.declared_in.withColumn("path", F.concat(F.lit("ASIA/"), "path"))), "SELECT symbol.id AS id FROM 'record:*'", None, own=True)
+)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factlens.functions.build_tags import requires
 from factlens.functions.glob import glob, iglob
 from factlens.operators import analysis, history, nav, traverse
-from factlens.operators.select import CONTAINERS, EXACT, kinds_of, named, parts_of, select
+from factlens.operators.select import CONTAINERS, EXACT, kinds_of, named, own_facts, parts_of, select
 from factlens.sources.facts import Facts
 
 MOST_BYTES, MOST_NESTING, MOST_ROWS, ROWS = 65_536, 64, 1000, 100
@@ -549,9 +549,14 @@ class Plan:
         return (keep.limit(q.limit or limit) if q.limit or limit else keep).select(*out)
 
 
-def run(facts: Facts, text: str, limit: int | None = ROWS, roots: list[str] | None = None) -> DataFrame:
-    """The rows of a query; `limit` holds where the query has none, and None lifts it.  With `roots` the facts of these alone are asked."""
-    return Plan(facts.scoped(roots) if roots else facts, parse(text)).frame(limit)
+def run(facts: Facts, text: str, limit: int | None = ROWS, roots: list[str] | None = None, own: bool = False) -> DataFrame:
+    """The rows of a query; `limit` holds where the query has none, and None lifts it.
+
+    With `roots` the facts of these alone are asked, and with `own` selectors take symbols
+    that are declared in the root of their own module.
+    """
+    facts = facts.scoped(roots) if roots else facts
+    return Plan(own_facts(facts) if own else facts, parse(text)).frame(limit)
 
 
 def row_query(text: str) -> Query:

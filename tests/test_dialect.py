@@ -103,6 +103,14 @@ def test_missing_measure_is_an_error(facts):
             assert run(facts, text) == []
 
 
+def test_own_and_active_symbols(facts):
+    assert run(facts, "SELECT symbol.id FROM 'api:*'", own=True) == [("T",), ("T.m",), ("f",)]
+    assert [r["id"] for r in select.select(facts, "func:*", own=True).collect()] == ["f"]
+    assert [r["id"] for r in select.resolved(facts, "h", active=True).collect()] == ["h"]
+    with pytest.raises(ValueError, match="no symbol"):
+        select.resolved(facts, "A", active=True)
+
+
 def test_scopes(facts):
     assert run(facts, "SELECT symbol.id FROM 'func:*'", roots=["n"]) == [("h",)]
     assert [r[0] for r in pathlang.run(facts, "func:* <", roots=["m"]).collect()] == ["f"]
