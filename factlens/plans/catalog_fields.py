@@ -60,7 +60,7 @@ query("SELECT symbol_id, effect FROM effects WHERE FALSE UNION ALL SELECT id, CA
     lambda f: traverse.catalog_effects(select.named(f), f.spark.createDataFrame([("PARTS/E*", "file.write"), ("PARTS/ECONOMY.*", "net.read"), ("PARTS/ECONOMY.red ring", "clock.read")], "pattern string, effect string"))
 )
 nav_query("field_metrics", "SELECT symbol.id AS id, symbol.metrics.param_count AS params, symbol.metrics.body_lines AS body FROM 'api:*'", "SELECT id, CASE WHEN kind IN ('func', 'method') THEN 1 END AS params, CASE WHEN id LIKE 'o:%' THEN 3 WHEN kind = 'func' AND size > 2 THEN size END AS body FROM symbols WHERE kind IN ('func', 'method', 'record', 'interface', 'type')")
-nav_query("field_measures", "SELECT symbol.id AS id, symbol.metrics.size AS size FROM 'all:*' WHERE symbol.kind != 'method'", "SELECT id, CASE WHEN kind = 'func' THEN size END AS size FROM symbols WHERE kind <> 'method'")
+nav_query("field_measures", "SELECT symbol.id AS id, symbol.metrics.size AS size FROM 'all:*' WHERE symbol.kind != 'method'", "SELECT id, CAST(CASE WHEN kind = 'func' THEN size END AS BIGINT) AS size FROM symbols WHERE kind <> 'method'")
 nav_query("field_props_alias", "SELECT symbol.id AS id, r.of.brand AS brand FROM 'func:*' r WHERE r.size > 10 AND r.size <= 20", "SELECT id, param AS brand FROM symbols WHERE kind = 'func' AND size > 10 AND size <= 20")
 nav_query("field_type", "SELECT symbol.id AS id, symbol.type AS type FROM 'all:*' WHERE symbol.module MATCH 'A*'", "SELECT id, type FROM symbols WHERE module LIKE 'A%'")
 _SYMBOL_GEN = ", l AS (SELECT *, lag(op) OVER k AS was, lag(fp) OVER k AS was_fp FROM declarations WINDOW k AS (PARTITION BY key ORDER BY ordinal)), g AS (SELECT ordinal, key, op, fp, CAST(sum(CASE WHEN op = 'set' AND (was IS NULL OR was = 'delete' OR was_fp <> fp) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ordinal) AS BIGINT) AS generation FROM l), now_ AS (SELECT key, arg_max(generation, ordinal) AS generation, arg_max(fp, ordinal) AS fp FROM g WHERE generation > 0 GROUP BY key HAVING arg_max(op, ordinal) = 'set')"

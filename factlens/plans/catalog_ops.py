@@ -79,7 +79,7 @@ query("SELECT (SELECT count(*) FROM files) AS files, (SELECT coalesce(sum(strlen
 query("SELECT package, CAST(count(*) + 1 AS BIGINT) AS stated, count(*) AS found FROM files WHERE package LIKE '%e%' GROUP BY package", "package_reconciled")(
     lambda f: history.reconciled(f.files.groupBy("package").agg((F.count("*") + F.when(F.col("package").contains("e"), 1).otherwise(0)).alias("documents")), f.files)
 )
-query(", d(ordinal, on_) AS (SELECT i, i // 2 FROM (SELECT unnest(range(2, 32)) AS i)), k(ordinal) AS (SELECT unnest([11, 29, 30, 31]) UNION SELECT on_ FROM k JOIN d USING (ordinal)) SELECT ordinal, lag(ordinal) OVER (ORDER BY ordinal) AS new_base FROM k", "prune_dependencies")(
+query(", d(ordinal, on_) AS (SELECT i, i // 2 FROM (SELECT unnest(range(2, 32)) AS i)), k(ordinal) AS (SELECT unnest([11, 29, 30, 31]) UNION SELECT on_ FROM k JOIN d USING (ordinal)) SELECT CAST(ordinal AS BIGINT) AS ordinal, CAST(lag(ordinal) OVER (ORDER BY ordinal) AS BIGINT) AS new_base FROM k", "prune_dependencies")(
     lambda f: history.kept_snapshots(f.snapshots, 3, f.snapshots.where("ordinal = 11"), f.snapshots.where("ordinal > 1").select("ordinal", F.floor(F.col("ordinal") / 2).alias("on")))
 )
 query("SELECT CAST(CASE WHEN ordinal <= 7 THEN 7 WHEN ordinal <= 19 THEN 19 ELSE 31 END AS BIGINT) AS ordinal, key, arg_max(op, ordinal) AS op, arg_max(coalesce(fp, -1), ordinal) AS fp FROM deltas GROUP BY 1, 2", "prune_rebased")(
@@ -88,7 +88,7 @@ query("SELECT CAST(CASE WHEN ordinal <= 7 THEN 7 WHEN ordinal <= 19 THEN 19 ELSE
 query("SELECT id FROM symbols WHERE kind = 'interface' AND id NOT IN (SELECT interface_id FROM implements) AND id NOT IN (SELECT target_id FROM supplied)", "prune_orphans")(
     lambda f: ids(history.orphans(f.symbols.where("kind = 'interface'"), ids(f.implements, "interface_id"), f.relationships.select(F.explode("targets").alias("id"))))
 )
-query(f", x AS (SELECT id, package, {_N} AS n FROM symbols WHERE kind = 'func'), t AS (SELECT package, id, row_number() OVER (PARTITION BY package ORDER BY id) AS number FROM x WHERE n % 3 = 0) SELECT id, number FROM t UNION ALL SELECT id, coalesce((SELECT max(number) FROM t WHERE t.package = x.package), 0) + row_number() OVER (PARTITION BY package ORDER BY id) FROM x WHERE n % 3 <> 0", "surrogate_numbers")(lambda f: _numbers(f))
+query(f", x AS (SELECT id, package, {_N} AS n FROM symbols WHERE kind = 'func'), t AS (SELECT package, id, row_number() OVER (PARTITION BY package ORDER BY id) AS number FROM x WHERE n % 3 = 0) SELECT id, CAST(number AS INT) AS number FROM t UNION ALL SELECT id, CAST(coalesce((SELECT max(number) FROM t WHERE t.package = x.package), 0) + row_number() OVER (PARTITION BY package ORDER BY id) AS INT) FROM x WHERE n % 3 <> 0", "surrogate_numbers")(lambda f: _numbers(f))
 
 
 def _numbers(f: Facts) -> DataFrame:
@@ -186,7 +186,7 @@ def _reordered(f: Facts) -> DataFrame:
     return diff.reordered(t.withColumn("new", F.concat(F.slice("old", -1, 1), F.expr("slice(old, 1, size(old) - 1)"))))
 
 
-text_query("token_changes", lambda t: compare.token_changes(t.select("key", "old", "new")).groupBy("key", "op").agg(F.count("*").alias("n")).where("op = '+'").select("key", "n"), "SELECT key, 5 AS n FROM l")
+text_query("token_changes", lambda t: compare.token_changes(t.select("key", "old", "new")).groupBy("key", "op").agg(F.count("*").alias("n")).where("op = '+'").select("key", "n"), "SELECT key, CAST(5 AS BIGINT) AS n FROM l")
 query("SELECT id AS key, 'moved' AS change FROM symbols WHERE kind = 'func'", "statement_moves")(
     lambda f: compare.statement_changes(_parts(f).select(F.col("id").alias("key"), F.array(*map(F.lit, "abcd")).alias("old"), F.array(*map(F.lit, "bcda")).alias("new"))).select("key", "change")
 )
@@ -358,7 +358,7 @@ def _custom(f: Facts) -> Facts:
 
 
 query("SELECT id FROM symbols WHERE kind = 'interface' AND name LIKE '%1'", "custom_kind")(lambda f: sqlnav.run(_custom(f), "SELECT symbol.id AS id FROM 'kind:acme.screen:*1'", None))
-query("SELECT DISTINCT symbol_id, CAST(1 AS INT) AS declared_at FROM occurrences WHERE role = 'write' AND symbol_id IS NOT NULL", "declaration_choice")(
+query("SELECT DISTINCT symbol_id, CAST(1 AS BIGINT) AS declared_at FROM occurrences WHERE role = 'write' AND symbol_id IS NOT NULL", "declaration_choice")(
     lambda f: scopes.preferred(f.occurrences.where("role = 'write' AND symbol_id IS NOT NULL").select("symbol_id", F.col("line").alias("snapshot")).distinct(), ids(_parts(f)).select(F.col("id").alias("symbol_id"), F.lit(1).alias("snapshot")), strict=True).select("symbol_id", "declared_at").distinct()
 )
 QUERIES["schema_diff_types"] = lambda spark, sf_dir: _types_only(spark, sf_dir)
