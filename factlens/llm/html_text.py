@@ -274,7 +274,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, part in slices(plain(b.column(2)), 8 << 20):
+            for first, part in slices(plain(b.column(2)), 4 << 20):
                 got = [main_text(x) for x in part.to_pylist()]
                 yield pa.record_batch([b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -124,7 +124,7 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text", pred: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = plain(b.column(at))
-            for first, part in slices(texts, 16 << 20):
+            for first, part in slices(texts, 4 << 20):
                 got = [profiles.predict(x) for x in part.to_pylist()]
                 own = b.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*own.schema.names, pred, score])

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -94,7 +93,7 @@ def _batch_keys(ids: list, texts: list[str], least: int) -> tuple[np.ndarray, np
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for b in batches:
-        for first, part in slices(plain(b.column(1)), 16 << 20):
+        for first, part in slices(plain(b.column(1)), 4 << 20):
             yield b.column(0).slice(first, len(part)).to_pylist(), part.to_pylist()
 
 
@@ -122,15 +121,17 @@ def line_index(rows: DataFrame, shards: int, least: int = LEAST) -> DataFrame:
     # n can count a document twice when its rows meet in different batches; one document is told by its ids
     found = found.withColumn("n", F.when(F.col("least_id") == F.col("most_id"), 1).otherwise(F.least(F.greatest(F.col("n"), F.lit(2)), F.lit(255))))
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[c].to_numpy().view(np.uint64) for c in "ab")
+    def build(table: pa.Table) -> pa.Table:
+        a, b, least_ids = (table.column(c).to_numpy() for c in ("a", "b", "least_id"))
+        a, b = a.view(np.uint64), b.view(np.uint64)
         sizes, bits = PerfectHash.build(a, b)
         slot = PerfectHash(sizes, bits).slots(a, b)
         fp, count, least_id = np.zeros(len(a), np.uint32), np.zeros(len(a), np.uint8), np.zeros(len(a), np.int64)
-        fp[slot], count[slot], least_id[slot] = (b & np.uint64(0xFFFFFFFF)).astype(np.uint32), pdf["n"], pdf["least_id"]
-        return pd.DataFrame({"shard": [key[0]], "sizes": [sizes], "bits": [bits.tobytes()], "fp": [fp.tobytes()], "count": [count.tobytes()], "least_id": [least_id.tobytes()]})
+        fp[slot], count[slot], least_id[slot] = (b & np.uint64(0xFFFFFFFF)).astype(np.uint32), table.column("n").to_numpy().astype(np.uint8), least_ids
+        cols = [pa.array([x.tobytes()], pa.binary()) for x in (bits, fp, count, least_id)]
+        return pa.table([table.column("shard").slice(0, 1), pa.array([sizes], pa.list_(pa.int64())), *cols], ["shard", "sizes", "bits", "fp", "count", "least_id"])
 
-    return found.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, sizes array<long>, bits binary, fp binary, count binary, least_id binary")
+    return found.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInArrow(build, "shard long, sizes array<long>, bits binary, fp binary, count binary, least_id binary")
 
 
 def dropped_keys(rows: DataFrame, index: DataFrame, shards: int, least: int = LEAST) -> DataFrame:
@@ -146,14 +147,14 @@ def dropped_keys(rows: DataFrame, index: DataFrame, shards: int, least: int = LE
             cut = list(zip(at, np.append(at[1:], len(shard)), strict=True)) if len(at) else []
             yield pa.record_batch([pa.array(shard[at]), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (d, a, b))], ["shard", "doc", "a", "b"])
 
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"doc_id": [], "gone": []}
-        if len(left) and len(right):
-            x = left.iloc[0]
-            table = PerfectHash(list(x["sizes"]), np.frombuffer(x["bits"], np.uint8))
-            fp, count, least_id = (np.frombuffer(x[c], t) for c, t in (("fp", np.uint32), ("count", np.uint8), ("least_id", np.int64)))
-            for d, a, b in zip(right["doc"], right["a"], right["b"], strict=True):
-                d, a, b = np.frombuffer(d, np.int64), np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, gone_keys = [], []
+        if left.num_rows and right.num_rows:
+            one = {c: left.column(c)[0].as_py() for c in left.column_names}
+            table = PerfectHash(one["sizes"], np.frombuffer(one["bits"], np.uint8))
+            fp, count, least_id = (np.frombuffer(one[c], t) for c, t in (("fp", np.uint32), ("count", np.uint8), ("least_id", np.int64)))
+            for packed in zip(*(right.column(c) for c in ("doc", "a", "b")), strict=True):
+                d, a, b = (np.frombuffer(x.as_buffer(), t) for x, t in zip(packed, (np.int64, np.uint64, np.uint64), strict=True))
                 slot = table.slots(a, b)
                 if (slot < 0).any() or (fp[slot] != (b & np.uint64(0xFFFFFFFF)).astype(np.uint32)).any():
                     raise RuntimeError("a probed line key is not in the index it was built from")
@@ -162,12 +163,12 @@ def dropped_keys(rows: DataFrame, index: DataFrame, shards: int, least: int = LE
                 order = np.argsort(d, kind="stable")
                 d, a = d[order], a[order]
                 at = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
-                out["doc_id"] += d[at].tolist()
-                out["gone"] += np.split(a, at[1:]) if len(at) else []
-        return pd.DataFrame({"doc_id": pd.Series(out["doc_id"], dtype="int64"), "gone": pd.Series(out["gone"], dtype=object)})
+                ids += d[at].tolist()
+                gone_keys += np.split(a, at[1:]) if len(at) else []
+        return pa.table([pa.array(ids, pa.int64()), pa.array(gone_keys, pa.list_(pa.int64()))], ["doc_id", "gone"])
 
     asked = rows.mapInArrow(probes, "shard long, doc binary, a binary, b binary")
-    hits = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(probe, "doc_id long, gone array<long>")
+    hits = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(probe, "doc_id long, gone array<long>")
     return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 

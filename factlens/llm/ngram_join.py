@@ -107,7 +107,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         for b in batches:
             ta, tb = plain(b.column(2)), plain(b.column(3))
             size = np.diff(buffers(ta)[1]) + np.diff(buffers(tb)[1])
-            part = np.cumsum(size) // (4 << 20)
+            part = np.cumsum(size) // (1 << 20)
             for at in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1):
                 if len(at):
                     ok = both(ta.slice(at[0], len(at)), tb.slice(at[0], len(at)))
@@ -264,9 +264,14 @@ def _clustered(rows: DataFrame, k: int, num: int, den: int, scratch: Scratch, li
     low = _low(num, den)
     member = scratch.write(_members(rows, k, num, den, low), "member")
     entity = member.where("n > 0").groupBy("e1", "e2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u"), F.count("*").alias("copies"), F.first("items").alias("items"))
-    entity = scratch.write(entity.withColumn("e", F.monotonically_increasing_id()), "entity")
+    entity = scratch.write(entity.withColumn("e", F.monotonically_increasing_id()), "entity-items")
+    # postings take disk, so the tables that carry them go as soon as they are read
+    member = scratch.write(member.select("row", "doc_id", "n", "e1", "e2"), "member-ids")
+    scratch.drop("member")
     scratch.release()
     prefix = _prefixes(entity.select("e", "n", "u", "items"), num, den, scratch, "prefix")
+    entity = scratch.write(entity.drop("items", "u"), "entity")
+    scratch.drop("entity-items")
     scratch.release()
 
     # an unshared shingle in front makes a prefix unlike any other
@@ -274,12 +279,14 @@ def _clustered(rows: DataFrame, k: int, num: int, den: int, scratch: Scratch, li
     keyed = prefix.withColumn("key", F.struct("n", alone.alias("alone"), F.transform("prefix", lambda x: x["s"]).alias("s")))
     groups = keyed.groupBy("key").agg(F.min("e").alias("g"), F.count("*").alias("size"))
     index = scratch.write(keyed.join(groups, "key").select("g", "size", "e", "n", "prefix"), "grouped")
+    scratch.drop("prefix")
     # one row for a group stands for its members until they are expanded; members of a group meet in a token of their own
     heads = index.where("e = g").select("e", "n", "size", F.explode("prefix").alias("x")).select(F.col("x.s").alias("s"), F.lit(0).alias("kind"), "e", "n", F.col("x.pos").alias("pos"), "size")
     inner = index.where("size > 1").select(F.col("g").alias("s"), F.lit(1).alias("kind"), "e", "n", F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("size"))
     tokens = heads.union(inner)
     counted = tokens.groupBy("s", "kind").agg(F.count("*").alias("held"), F.max("size").alias("largest")).where("held > 1 or largest > 1")
     tokens = scratch.write(tokens.join(counted, ["s", "kind"]), "tokens")
+    scratch.release()
 
     needed = index.select("e").join(entity.select("e", "doc_id", "e1", "e2"), "e")
     texts = needed.join(rows.select("doc_id", "text"), "doc_id").select("e", "e1", "e2", "text")
@@ -332,6 +339,8 @@ def _clustered(rows: DataFrame, k: int, num: int, den: int, scratch: Scratch, li
     held = scratch.write(with_root(again_prefix.select("e", "n", F.explode("prefix.s").alias("s")), roots), "open-postings")
     centre = held.groupBy("s").agg(F.min("e").alias("b"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s", "b")
     held = scratch.write(held.join(centre, "s"), "open-met")
+    scratch.drop("open-sets", "open-postings", "again", "tokens")
+    scratch.release()
     classes = scratch.write(components(held.select(F.col("e").alias("a"), "b"), scratch, "classes"), "class")
     postings = held.join(classes.select(F.col("node").alias("e"), F.col("root").alias("cls")), "e").select("cls", "s", "e", "n", "root")
     tasks = _cells(postings, scratch).join(again, "e").select("cls", "s", "i", "j", "e", "text")
@@ -347,7 +356,7 @@ def _clustered(rows: DataFrame, k: int, num: int, den: int, scratch: Scratch, li
         label = label.join(_degrees(known.select("e", "n", "root", "copies"), texts, k, num, den, scratch), "e", "left")
         count = F.coalesce("links", count) + F.col("copies") - 1
     label = scratch.write(label.select("e1", "e2", F.coalesce("root", "e").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"), count.alias("n_links")), "label")
-    scratch.drop("texts", "tokens", "grouped", "prefix", "entity", "open", "open-texts", "open-sets", "open-postings", "open-met", "again", "dealt", "sized")
+    scratch.drop("texts", "tokens", "grouped", "entity", "open", "open-texts", "open-sets", "open-postings", "open-met", "again", "dealt", "sized")
     scratch.release()
     out = member.select("row", "doc_id", "n", "e1", "e2").join(label, ["e1", "e2"], "left")
     filled = F.col("n") > 0

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are taken in slices of about this many bytes, so that memory stays level.
-SLICE_BYTES = 4 << 20
+#: Texts are taken in slices of about this many bytes, so that memory stays level: a slice takes some 60 times its size.
+SLICE_BYTES = 1 << 19
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
