@@ -198,14 +198,14 @@ def referenced(facts: Facts, text: str) -> DataFrame:
     return select(facts, text).join(used, "id", "left_semi")
 
 
-def suggest(facts: Facts, prefix: str, top: int = 20) -> DataFrame:
-    """The first `top` symbols whose searched name starts with the prefix; too many candidates are an error."""
+def suggest(facts: Facts, prefix: str, top: int = 20, most: int | None = MOST_SUGGESTED) -> DataFrame:
+    """The first `top` symbols whose searched name starts with the prefix; more than `most` candidates are an error, and None takes any number."""
     if not 1 <= top <= 100:
         raise ValueError("1 to 100 suggestions")
     key = search_name(F.lit(prefix))
     found = facts.symbols.withColumn("search_name", search_name(F.col("name"))).where(F.col("search_name").startswith(key))
-    if found.limit(MOST_SUGGESTED + 1).count() > MOST_SUGGESTED:
-        raise ValueError(f"more than {MOST_SUGGESTED} symbols start with {prefix!r}; give more of the name")
+    if most is not None and found.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} symbols start with {prefix!r}; give more of the name")
     return found.orderBy("search_name", "id").limit(top)
 
 

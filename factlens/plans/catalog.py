@@ -80,7 +80,7 @@ def _canonical_id(f: Facts) -> DataFrame:
 
 @query("SELECT id, name FROM symbols WHERE regexp_replace(lower(name), '[^0-9a-z]', '', 'g') LIKE 'small%' ORDER BY regexp_replace(lower(name), '[^0-9a-z]', '', 'g'), id LIMIT 20")
 def suggest_prefix(f: Facts) -> DataFrame:
-    return select.suggest(f, "Small").select("id", "name")
+    return select.suggest(f, "Small", most=None).select("id", "name")
 
 
 # --- navigation --------------------------------------------------------------------------

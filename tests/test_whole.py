@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from factlens.operators import traverse
 from factlens.plans import catalog
 
@@ -33,3 +35,11 @@ def test_strong_components_of_long_cycles(spark):
     edges = cycle("x", 21) + cycle("y", 11) + [("x05", "m"), ("m", "y03"), ("s", "s")]
     want = [(f"x{i:02}", "x00") for i in range(21)] + [(f"y{i:02}", "y00") for i in range(11)] + [("m", "m"), ("s", "s")]
     assert rows(traverse.strong_components(spark.createDataFrame(edges, "source string, target string"))) == sorted(want)
+
+
+def test_suggest_prefix_takes_any_number_of_candidates(spark, monkeypatch):
+    """More than ten thousand names start with the prefix; the first of all by name and id come back."""
+    n = F.col("id")
+    symbols = spark.range(10_050).select(F.format_string("p:%05d", n).alias("id"), F.when(n == 10_049, "Small!").otherwise("small part").alias("name"))
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: SimpleNamespace(symbols=symbols))
+    assert rows(catalog.QUERIES["suggest_prefix"](spark, "")) == [*((f"p:{i:05}", "small part") for i in range(19)), ("p:10049", "Small!")]
