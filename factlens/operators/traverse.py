@@ -377,10 +377,11 @@ def _settled(now: DataFrame, step: Callable[[DataFrame], DataFrame], cut: Callab
         now = after.select("id", "c")
 
 
-def walk_source(source: Callable[[DataFrame], DataFrame], roots: DataFrame, depth: int = MOST_DEPTH, most: int = MOST_SYMBOLS) -> tuple[DataFrame, DataFrame]:
+def walk_source(source: Callable[[DataFrame], DataFrame], roots: DataFrame, depth: int = MOST_DEPTH, most: int | None = MOST_SYMBOLS) -> tuple[DataFrame, DataFrame]:
     """(nodes, steps) of a walk over what a function gives: for a frame of ids, steps (source, target, ...) that leave them.
 
-    So a graph can come from any resolver; each level is asked once.
+    So a graph can come from any resolver; each level is asked once.  More than `most`
+    symbols are an error, and None takes any number.
     """
     cut = Rounds(roots.sparkSession).cut
     seen = level = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
@@ -392,7 +393,7 @@ def walk_source(source: Callable[[DataFrame], DataFrame], roots: DataFrame, dept
         if not level.limit(1).count():
             break
         seen = seen.union(level)
-        if seen.limit(most + 1).count() > most:
+        if most is not None and seen.limit(most + 1).count() > most:
             raise ValueError(f"the walk reaches more than {most} symbols")
     return seen, steps
 

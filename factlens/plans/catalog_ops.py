@@ -299,7 +299,7 @@ def _replaced(f: Facts) -> DataFrame:
 
 
 query("SELECT DISTINCT id FROM (SELECT id FROM red UNION ALL SELECT target_id FROM supplied WHERE source_id IN (SELECT id FROM red))", "walk_resolver")(
-    lambda f: ids(traverse.walk_source(lambda at: nav.outgoing(f, at).select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), ids(f.symbols.where("kind = 'func' AND name LIKE 'red %'")), 3)[0])
+    lambda f: ids(traverse.walk_source(lambda at: nav.outgoing(f, at).select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), ids(f.symbols.where("kind = 'func' AND name LIKE 'red %'")), 3, most=None)[0])
 )
 query("SELECT id, CASE kind WHEN 'record' THEN 'box' WHEN 'method' THEN 'circle' END AS shape FROM symbols WHERE module = 'ASIA'", "themed_nodes")(
     lambda f: (lambda n: traverse.themed(n, lambda d: d.join(f.symbols.select("id", "kind"), "id").where("kind IN ('record', 'method')").select("id", F.when(F.col("kind") == "record", "box").otherwise("circle").alias("shape"))))(ids(f.symbols.where("module = 'ASIA'")))

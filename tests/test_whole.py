@@ -43,3 +43,13 @@ def test_suggest_prefix_takes_any_number_of_candidates(spark, monkeypatch):
     symbols = spark.range(10_050).select(F.format_string("p:%05d", n).alias("id"), F.when(n == 10_049, "Small!").otherwise("small part").alias("name"))
     monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: SimpleNamespace(symbols=symbols))
     assert rows(catalog.QUERIES["suggest_prefix"](spark, "")) == [*((f"p:{i:05}", "small part") for i in range(19)), ("p:10049", "Small!")]
+
+
+def test_walk_resolver_takes_any_number_of_symbols(spark, monkeypatch):
+    """Two red functions lead to more than ten thousand suppliers."""
+    many = F.transform(F.sequence(F.lit(1), F.lit(5_100)), lambda i: F.concat(F.lit("s:"), F.col("id").cast("string"), F.lit("-"), i.cast("string")))
+    relationships = spark.range(3).select(F.concat(F.lit("p:"), F.col("id").cast("string")).alias("source_id"), many.alias("targets"), F.lit("tpch.supplied_by").alias("kind"), F.lit("parts").alias("path"), F.lit(1).alias("line"), F.lit("exact").alias("resolution"))
+    symbols = spark.createDataFrame([("p:0", "func", "red a"), ("p:1", "func", "red b"), ("p:2", "func", "blue c")], "id string, kind string, name string")
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: SimpleNamespace(symbols=symbols, relationships=relationships))
+    want = [(f"p:{k}",) for k in (0, 1)] + [(f"s:{k}-{i}",) for k in (0, 1) for i in range(1, 5_101)]
+    assert rows(catalog.QUERIES["walk_resolver"](spark, "")) == sorted(want)
