@@ -37,8 +37,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
 
 def nav_query(name: str, text: str, sql: str) -> None:
-    """A query in the SQL dialect, over all its rows."""
-    query(sql, name)(lambda facts: sqlnav.run(facts, text, limit=None))
+    """A query in the SQL dialect, over all its rows, however many symbols a walk reaches."""
+    query(sql, name)(lambda facts: sqlnav.run(facts, text, limit=None, most=None))
 
 
 def ids(df: DataFrame, key: str = "id") -> DataFrame:

@@ -237,11 +237,11 @@ def parse(text: str) -> Query:
     return Parser(text).parse()
 
 
-def targets(facts: Facts, s: Source) -> DataFrame:
-    """Distinct ids that a nested source projects."""
+def targets(facts: Facts, s: Source, most: int | None = traverse.MOST_SYMBOLS) -> DataFrame:
+    """Distinct ids that a nested source projects; a walk that reaches more than `most` symbols is an error."""
     if s.name == "select":
         return select(facts, s.selector).select("id").distinct()
-    rows, key = witnesses(facts, s)
+    rows, key = witnesses(facts, s, most)
     return rows.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct()
 
 
@@ -264,9 +264,9 @@ def _edges(facts: Facts, s: Source) -> DataFrame:
     return nav.native_edges(facts, s.options["via"]) if s.options.get("via") else facts.edges
 
 
-def _graph(facts: Facts, s: Source) -> DataFrame:
+def _graph(facts: Facts, s: Source, most: int | None) -> DataFrame:
     """Nodes of a bounded graph from one root."""
-    roots = targets(facts, s.args[0])
+    roots = targets(facts, s.args[0], most)
     if len(roots.limit(2).collect()) > 1:
         raise QueryError("a graph has one root")
     edges, access = _edges(facts, s), _listed(s, "access")
@@ -306,15 +306,15 @@ def _applicable(facts: Facts, s: Source, ids: DataFrame) -> DataFrame:
     return ids.join(other, "id", "left_anti")
 
 
-def witnesses(facts: Facts, s: Source) -> tuple[DataFrame, str]:
+def witnesses(facts: Facts, s: Source, most: int | None = traverse.MOST_SYMBOLS) -> tuple[DataFrame, str]:
     """Rows of a source and the column with the projected symbol."""
     if s.name == "select":
         return select(facts, s.selector).select(F.col("id").alias("proj")), "proj"
     if s.name == "files":
         return analysis.file_rows(facts.files, bool(s.options.get("include_excluded"))), ""
     if s.name == "graph":
-        return _graph(facts, s), "proj"
-    ids = targets(facts, s.args[0])
+        return _graph(facts, s, most), "proj"
+    ids = targets(facts, s.args[0], most)
     if s.name == "definitions":
         return nav.definitions(facts, ids).select(F.col("id").alias("proj")), "proj"
     if s.name in ("incoming", "outgoing"):
@@ -325,9 +325,9 @@ def witnesses(facts: Facts, s: Source) -> tuple[DataFrame, str]:
         if direction not in ("out", "in"):
             raise QueryError("a direction is out or in")
         e = _edges(facts, s)
-        return traverse.reachable(e if direction == "out" else traverse.reverse(e), ids, _number(s, "depth", 3, traverse.MOST_DEPTH), most=traverse.MOST_SYMBOLS).withColumnRenamed("id", "proj"), "proj"
+        return traverse.reachable(e if direction == "out" else traverse.reverse(e), ids, _number(s, "depth", 3, traverse.MOST_DEPTH), most=most).withColumnRenamed("id", "proj"), "proj"
     if s.name == "path":
-        end = targets(facts, s.args[1])
+        end = targets(facts, s.args[1], most)
         if not s.options.get("via") and any(len(x.limit(2).collect()) != 1 for x in (ids, end)):
             raise QueryError("a path has one symbol at each end")
         return traverse.shortest_path(_edges(facts, s), ids, end, _number(s, "depth", 8, traverse.MOST_DEPTH)).withColumnRenamed("id", "proj").withColumnRenamed("hop", "depth"), "proj"
@@ -373,8 +373,8 @@ def effect_fields(facts: Facts) -> DataFrame:
 class Plan:
     """A query bound to facts: the rows with the columns that it asks for."""
 
-    def __init__(self, facts: Facts, query: Query) -> None:
-        self.facts, self.query, self.flags = facts, query, 0
+    def __init__(self, facts: Facts, query: Query, most: int | None = traverse.MOST_SYMBOLS) -> None:
+        self.facts, self.query, self.most, self.flags = facts, query, most, 0
         self.columns = query.columns
         self.is_files = query.source.name == "files"
         if self.columns is None:
@@ -382,7 +382,7 @@ class Plan:
         names = {alias: name for name, alias in self.columns}
         self.order = [(names.get(n, n), desc) for n, desc in query.order]
         wanted = {self.real(c) for c in _fields(query.where) | {c for c, _ in self.columns} | {c for c, _ in self.order}}
-        rows, _ = witnesses(facts, query.source)
+        rows, _ = witnesses(facts, query.source, most)
         self.rows = self._files(rows, wanted) if self.is_files else self._symbols(rows, wanted)
 
     def real(self, name: str) -> str:
@@ -502,7 +502,7 @@ class Plan:
             # membership as a flag, unknown for a null id, so that it can stand in any expression
             flag = f"__in{self.flags}"
             self.flags += 1
-            ids = targets(self.facts, p[2]).select(F.col("id").alias("proj"), F.lit(True).alias(flag))
+            ids = targets(self.facts, p[2], self.most).select(F.col("id").alias("proj"), F.lit(True).alias(flag))
             self.rows = self.rows.join(ids, "proj", "left")
             return F.when(F.col("proj").isNotNull(), F.coalesce(flag, F.lit(False)))
         c = self.column(p[1])
@@ -525,7 +525,7 @@ class Plan:
         for p in _conjuncts(self.query.where):
             inner = p[1] if p[0] == "not" else p
             if inner[0] == "in" and not self.is_files:
-                ids = targets(self.facts, inner[2]).withColumnRenamed("id", "proj")
+                ids = targets(self.facts, inner[2], self.most).withColumnRenamed("id", "proj")
                 self.rows = self.rows.join(ids, "proj", "left_semi") if p[0] == "in" else self.rows.where("proj IS NOT NULL").join(ids, "proj", "left_anti")
             else:
                 hit = self.predicate(p)  # which may join a flag to the rows
@@ -549,14 +549,14 @@ class Plan:
         return (keep.limit(q.limit or limit) if q.limit or limit else keep).select(*out)
 
 
-def run(facts: Facts, text: str, limit: int | None = ROWS, roots: list[str] | None = None, own: bool = False) -> DataFrame:
-    """The rows of a query; `limit` holds where the query has none, and None lifts it.
+def run(facts: Facts, text: str, limit: int | None = ROWS, roots: list[str] | None = None, own: bool = False, most: int | None = traverse.MOST_SYMBOLS) -> DataFrame:
+    """The rows of a query; `limit` holds where the query has none, and `most` bounds what a walk may reach; None lifts either.
 
     With `roots` the facts of these alone are asked, and with `own` selectors take symbols
     that are declared in the root of their own module.
     """
     facts = facts.scoped(roots) if roots else facts
-    return Plan(own_facts(facts) if own else facts, parse(text)).frame(limit)
+    return Plan(own_facts(facts) if own else facts, parse(text), most).frame(limit)
 
 
 def row_query(text: str) -> Query:

@@ -2,10 +2,12 @@
 
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from factlens.operators import traverse
-from factlens.plans import catalog
+from factlens.plans import catalog, sqlnav
+from factlens.sources.facts import from_frames
 
 
 def rows(df):
@@ -53,3 +55,14 @@ def test_walk_resolver_takes_any_number_of_symbols(spark, monkeypatch):
     monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: SimpleNamespace(symbols=symbols, relationships=relationships))
     want = [(f"p:{k}",) for k in (0, 1)] + [(f"s:{k}-{i}",) for k in (0, 1) for i in range(1, 5_101)]
     assert rows(catalog.QUERIES["walk_resolver"](spark, "")) == sorted(want)
+
+
+def test_traverse_nested_takes_any_number_of_symbols(spark, monkeypatch):
+    """Two red functions call more than ten thousand others; in the dialect as such that is an error."""
+    n, p = F.col("id"), lambda c: F.concat(F.lit("p:"), c.cast("string"))
+    symbols = spark.range(10_203).select(p(n).alias("id"), F.lit("func").alias("kind"), F.when(n < 2, "red a").otherwise("blue b").alias("name"))
+    facts = from_frames(spark, symbols=symbols, edges=spark.range(2, 10_203).select(p(n % 2).alias("source"), p(n).alias("target")))
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: facts)
+    assert rows(catalog.QUERIES["traverse_nested"](spark, "")) == sorted((f"p:{i}",) for i in range(2, 10_203))
+    with pytest.raises(Exception, match="more than 10000 symbols"):
+        sqlnav.run(facts, "SELECT symbol.id AS id FROM traverse('func:red *', depth => 1)").collect()
