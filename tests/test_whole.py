@@ -66,3 +66,12 @@ def test_traverse_nested_takes_any_number_of_symbols(spark, monkeypatch):
     assert rows(catalog.QUERIES["traverse_nested"](spark, "")) == sorted((f"p:{i}",) for i in range(2, 10_203))
     with pytest.raises(Exception, match="more than 10000 symbols"):
         sqlnav.run(facts, "SELECT symbol.id AS id FROM traverse('func:red *', depth => 1)").collect()
+
+
+def test_traverse_via_takes_any_number_of_symbols(spark, monkeypatch):
+    """A red function is supplied by more than ten thousand suppliers."""
+    symbols = spark.createDataFrame([("p:0", "func", "red a")], "id string, kind string, name string")
+    relationships = spark.range(1).select(F.lit("p:0").alias("source_id"), F.transform(F.sequence(F.lit(1), F.lit(10_100)), lambda i: F.concat(F.lit("s:"), i.cast("string"))).alias("targets"), F.lit("tpch.supplied_by").alias("kind"))
+    facts = from_frames(spark, symbols=symbols, relationships=relationships)
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: facts)
+    assert rows(catalog.QUERIES["traverse_via"](spark, "")) == sorted((f"s:{i}", 1) for i in range(1, 10_101))
