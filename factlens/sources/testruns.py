@@ -40,6 +40,11 @@ def read(spark: SparkSession, path: str) -> TestRuns:
 
 
 def linked(cases: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(test_id, symbol_id) of cases whose package and name declare one function."""
-    s = symbols.where("kind = 'func'").select("package", "name", F.col("id").alias("symbol_id"))
-    return cases.join(s, ["package", "name"]).groupBy("test_id").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").select("test_id", "symbol_id")
+    """(test_id, symbol_id) of cases whose package and name declare one function.
+
+    The functions of a package and name are joined as their first and last id, which tell
+    whether they are one, so that no case meets each of its namesakes.
+    """
+    s = symbols.where("kind = 'func'").groupBy("package", "name").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    ends = cases.join(s, ["package", "name"]).groupBy("test_id").agg(F.min("first").alias("symbol_id"), F.max("last").alias("last"))
+    return ends.where("symbol_id = last").select("test_id", "symbol_id")

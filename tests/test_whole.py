@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlens.operators import traverse
 from factlens.plans import catalog, sqlnav
+from factlens.sources import testruns
 from factlens.sources.facts import from_frames
 
 
@@ -14,6 +15,26 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
+def joined_rows(df):
+    """Rows that the joins of the frame made, as they ran."""
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, out = [plan], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name:
+            out.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def test_skip_plan_takes_all_tests(spark, monkeypatch):
     """Run 3 has a failure of t:9, so run 2 is the baseline, for tests of any id."""
     results = [("t:1", 1, "fail", "a"), ("t:1", 2, "pass", "a"), ("t:2", 2, "pass", "b"), ("t:9", 2, "skip", "c"), ("t:1", 3, "pass", "a"), ("t:2", 3, "pass", "b2"), ("t:9", 3, "fail", "c")]
@@ -75,3 +96,17 @@ def test_traverse_via_takes_any_number_of_symbols(spark, monkeypatch):
     facts = from_frames(spark, symbols=symbols, relationships=relationships)
     monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: facts)
     assert rows(catalog.QUERIES["traverse_via"](spark, "")) == sorted((f"s:{i}", 1) for i in range(1, 10_101))
+
+
+def test_linked_joins_no_case_with_each_namesake(spark):
+    """Two thousand cases and functions of one name make no four million pairs; a case of two names has one function if both do, the same."""
+    symbols = spark.range(2_000).select(F.format_string("p:%d", "id").alias("id"), F.lit("func").alias("kind"), F.lit("m").alias("package"), F.lit("same").alias("name"))
+    symbols = symbols.union(spark.createDataFrame([("one", "func", "m", "own"), ("one", "func", "m", "alias"), ("two", "func", "m", "other"), ("var", "var", "m", "own"), (None, "func", "m", "own")], "id string, kind string, package string, name string"))
+    cases = symbols.where("name = 'same'").select(F.col("id").alias("test_id"), "package", "name")
+    more = [("t1", "m", "own"), ("t2", "m", "own"), ("t2", "m", "alias"), ("t3", "m", "own"), ("t3", "m", "other"), ("t4", "m", "own"), ("t4", "m", "same"), ("t5", "m", "absent"), ("t6", "m", None)]
+    got = testruns.linked(cases.union(spark.createDataFrame(more, "test_id string, package string, name string")), symbols)
+    assert rows(got) == [("t1", "one"), ("t2", "one")]
+    got = testruns.linked(cases, symbols)
+    got.collect()
+    made = [int(m) for m in joined_rows(got)]
+    assert made and max(made) <= 2_000
