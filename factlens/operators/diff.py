@@ -169,8 +169,8 @@ def reordered(tables: DataFrame) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for name, old, new in zip(pdf["name"], pdf["old"], pdf["new"], strict=True):
-            stay = kept_order(list(old), list(new))
-            rows += [(name, c) for c in new if c in set(old) and c not in stay]
+            stay, was = kept_order(list(old), list(new)), set(old)
+            rows += [(name, c) for c in new if c in was and c not in stay]
         return pd.DataFrame(rows, columns=["name", "member"])
 
     return tables.mapInPandas(lambda it: map(work, it), "name string, member string")
