@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factlens.functions import sequence
 
@@ -73,14 +77,25 @@ def columns_diff(before: DataFrame, after: DataFrame, metadata: tuple[str, ...]
     return j.select("table", "column", change.alias("change")).where("change IS NOT NULL")
 
 
+#: Rows that a task hands on at once.
+PAGE = 1 << 12
+
+
 def _per_row(rows: DataFrame, work, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    """What `work` gives for each row (key, old, new), in pages, so that a task holds the rows of one text and a page alone."""
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def made(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from work(*(batch.column(c)[at].as_py() for c in ("key", "old", "new")))
 
     def pages(batches):
-        for pdf in batches:
-            yield pd.DataFrame([r for key, old, new in zip(pdf["key"], pdf["old"], pdf["new"], strict=True) for r in work(key, old, new)], columns=names)
+        left = made(batches)
+        while page := list(islice(left, PAGE)):
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*page, strict=True), out, strict=True)], schema=out)
 
-    return rows.select(F.col("key").cast("string").alias("key"), "old", "new").mapInPandas(pages, schema)
+    return rows.select(F.col("key").cast("string").alias("key"), "old", "new").mapInArrow(pages, schema)
 
 
 def line_changes(texts: DataFrame) -> DataFrame:
@@ -115,12 +130,12 @@ def attributed(lines: DataFrame, old_extents: DataFrame, new_extents: DataFrame)
     return sides[0].union(sides[1]).groupBy("key", "id").agg(n("+").alias("added"), n("-").alias("removed"))
 
 
-def token_changes(texts: DataFrame) -> DataFrame:
-    """(key, n, op, token): the steps between the words and signs of rows (key, old, new)."""
+def token_changes(texts: DataFrame, same: bool = True) -> DataFrame:
+    """(key, n, op, token): the steps between the words and signs of rows (key, old, new), without those that stay unless `same`."""
 
     def work(key, old, new):
         a, b = _TOKEN.findall(old or ""), _TOKEN.findall(new or "")
-        return [(key, n, op, b[j] if op == "+" else a[i]) for n, (op, i, j) in enumerate(sequence.script(a, b))]
+        return ((key, n, op, b[j] if op == "+" else a[i]) for n, (op, i, j) in enumerate(sequence.script(a, b)) if same or op != " ")
 
     return _per_row(texts, work, "key string, n int, op string, token string")
 

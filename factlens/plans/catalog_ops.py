@@ -186,7 +186,7 @@ def _reordered(f: Facts) -> DataFrame:
     return diff.reordered(t.withColumn("new", F.concat(F.slice("old", -1, 1), F.expr("slice(old, 1, size(old) - 1)"))))
 
 
-text_query("token_changes", lambda t: compare.token_changes(t.select("key", "old", "new")).groupBy("key", "op").agg(F.count("*").alias("n")).where("op = '+'").select("key", "n"), "SELECT key, CAST(5 AS BIGINT) AS n FROM l")
+text_query("token_changes", lambda t: compare.token_changes(t.select("key", "old", "new"), same=False).groupBy("key", "op").agg(F.count("*").alias("n")).where("op = '+'").select("key", "n"), "SELECT key, CAST(5 AS BIGINT) AS n FROM l")
 query("SELECT id AS key, 'moved' AS change FROM symbols WHERE kind = 'func'", "statement_moves")(
     lambda f: compare.statement_changes(_parts(f).select(F.col("id").alias("key"), F.array(*map(F.lit, "abcd")).alias("old"), F.array(*map(F.lit, "bcda")).alias("new"))).select("key", "change")
 )

@@ -3,10 +3,12 @@
 import time
 from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factlens.operators import diff, traverse
+from factlens.operators import compare, diff, traverse
 from factlens.plans import catalog, sqlnav
 from factlens.sources import testruns
 from factlens.sources.facts import from_frames
@@ -121,3 +123,27 @@ def test_reordered_takes_long_lists_in_time_of_their_length(spark):
     began = time.monotonic()
     assert rows(diff.reordered(lists)) == [("t", "p:099999")]
     assert time.monotonic() - began < 60
+
+
+def test_token_changes_hands_on_pages(spark):
+    """A task that turns 400 texts of 500 tokens into 200,400 steps holds a page of them at a time."""
+    held = []
+
+    class Texts:
+        """Stands for a frame: runs the task's own function here and keeps the sizes of what it hands on."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, pages, schema):
+            old = "a " * 500
+            given = pa.record_batch({"key": [str(k) for k in range(400)], "old": [old] * 400, "new": [old + "b"] * 400})
+            held.extend(b.num_rows for b in pages(iter([given])))
+
+        mapInPandas = lambda self, pages, schema: held.extend(len(b) for b in pages(iter([pd.DataFrame({"key": range(400), "old": ["a " * 500] * 400, "new": ["a " * 500 + "b"] * 400})])))
+
+    compare.token_changes(Texts())
+    assert sum(held) == 400 * 501 and max(held) <= 50_000
+    texts = spark.createDataFrame([("k", "f(a) z", "f(b) z"), ("l", None, "x"), ("m", "y", None), ("n", None, None)], "key string, old string, new string")
+    assert rows(compare.token_changes(texts, same=False)) == [("k", 2, "-", "a"), ("k", 3, "+", "b"), ("l", 0, "+", "x"), ("m", 0, "-", "y")]
+    assert [r for r in rows(compare.token_changes(texts)) if r[2] != " "] == rows(compare.token_changes(texts, same=False))
