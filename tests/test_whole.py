@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factlens.operators import compare, diff, traverse
+from factlens.operators import compare, diff, kernels, traverse
 from factlens.plans import catalog, sqlnav
 from factlens.sources import testruns
 from factlens.sources.facts import from_frames
@@ -101,6 +101,17 @@ def test_traverse_via_takes_any_number_of_symbols(spark, monkeypatch):
     assert rows(catalog.QUERIES["traverse_via"](spark, "")) == sorted((f"s:{i}", 1) for i in range(1, 10_101))
 
 
+def test_traverse_via_takes_any_number_of_symbols_in_rounds(spark, monkeypatch):
+    """The same with more edges than one task takes, as on 60 times sf0.1: red functions that share suppliers, one that is supplied itself, and a blue function."""
+    monkeypatch.setattr(kernels, "MOST_EDGES", -1)
+    symbols = spark.createDataFrame([("p:0", "func", "red a"), ("p:1", "func", "red b"), ("p:2", "func", "blue c")], "id string, kind string, name string")
+    supplied = lambda source, first, last: (source, [f"s:{i}" for i in range(first, last + 1)], "tpch.supplied_by")
+    relationships = spark.createDataFrame([supplied("p:0", 1, 5_200), supplied("p:1", 5_001, 10_100), supplied("p:2", 20_000, 20_010), ("s:1", ["s:2", "s:30000"], "tpch.supplied_by")], "source_id string, targets array<string>, kind string")
+    facts = from_frames(spark, symbols=symbols, relationships=relationships)
+    monkeypatch.setattr(catalog, "indexed", lambda spark, sf_dir: facts)
+    assert rows(catalog.QUERIES["traverse_via"](spark, "")) == sorted([*((f"s:{i}", 1) for i in range(1, 10_101)), ("s:30000", 2)])
+
+
 def test_linked_joins_no_case_with_each_namesake(spark):
     """Two thousand cases and functions of one name make no four million pairs; a case of two names has one function if both do, the same."""
     symbols = spark.range(2_000).select(F.format_string("p:%d", "id").alias("id"), F.lit("func").alias("kind"), F.lit("m").alias("package"), F.lit("same").alias("name"))
